@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, decontaminate, jaccard_join, substring_dedup, suffix_dedup
+from . import bpe, decontaminate, jaccard_join, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_bpe": bpe.op6_bpe,
