@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch; documents can be long, and a batch is held twice on its way to Python.
+BATCH_ROWS = "2000"
 _shipped: set[str] = set()
 
 
@@ -24,4 +26,6 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(path)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # unless it was chosen
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     _shipped.add(sc.applicationId)
