@@ -33,6 +33,8 @@ from .textarrays import U64, binaries, expand, pack, pieces, text_buffer, unpack
 NULL_ID = -(1 << 63)
 #: Bytes of packed text that one window sort takes; the strings of one minimiser stay together.
 SORT_TEXT = 8 << 20
+#: Runs that a task gathers before it packs them.
+HELD_RUNS = 1 << 19
 FOUND = "doc bigint, dh int, repeats binary, suspects binary"
 
 
@@ -62,43 +64,49 @@ def _places(doc: np.ndarray, dh: np.ndarray, start: np.ndarray, *major: np.ndarr
     return np.lexsort((start, dh, doc, *major[::-1]))
 
 
+def _packed_runs(got: list[list[np.ndarray]], n: int) -> pa.RecordBatch:
+    """Runs by bucket: the first of each string with its hashes, the others as places only."""
+    mini, whole, d, h, start, windows = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((whole, mini))
+    m, w = mini[order], whole[order]
+    same = (m[1:] == m[:-1]) & (w[1:] == w[:-1])
+    first = np.ones(len(order), bool)
+    if same.any():
+        many = np.zeros(len(order), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        x = order[many]
+        order[many] = x[_places(d[x], h[x], start[x], mini[x], whole[x])]
+        first[1:] = ~same
+    bucket = (mini[order] >> U64(40)) % U64(n)
+    by = np.argsort(bucket, kind="stable")
+    order, first, bucket = order[by], first[by], bucket[by]
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    blobs = []
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        s, r = order[i:j][first[i:j]], order[i:j][~first[i:j]]
+        blobs.append(pack(mini[s], whole[s], d[s], h[s], start[s], windows[s], d[r], h[r], start[r], windows[r]))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32), pa.int32()), binaries(blobs)], names=["bucket", "blob"])
+
+
 def _run_kernel(make: Callable, length: int, k: int, n: int) -> Callable:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list[np.ndarray]] = []
+        held = 0
         for batch in batches:
             data, offs = text_buffer(batch.column("text"))
             doc, dh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "dh"))
-            got: list[list[np.ndarray]] = []
             for a, b in pieces(offs):
                 t = make(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 at, windows, mini, of = _anchors.runs(t.grams(), t.first, length, k)
-                got.append([mini, t.hashes(at, at + windows + length - 1), doc[a + of], dh[a + of], (at - t.first[of]).astype(np.uint32), windows.astype(np.uint32)])
-            if not got:
-                continue
-            mini, whole, d, h, start, windows = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((whole, mini))
-            m, w = mini[order], whole[order]
-            same = (m[1:] == m[:-1]) & (w[1:] == w[:-1])
-            first = np.ones(len(order), bool)
-            if same.any():
-                many = np.zeros(len(order), bool)
-                many[1:] |= same
-                many[:-1] |= same
-                x = order[many]
-                order[many] = x[_places(d[x], h[x], start[x], mini[x], whole[x])]
-                first[1:] = ~same
-            bucket = ((mini[order] >> U64(40)) % U64(n)).astype(np.int32)
-            rows: dict[int, tuple] = {}
-            by = np.argsort(bucket, kind="stable")
-            order, first, bucket = order[by], first[by], bucket[by]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            keys, blobs = [], []
-            for part, one in zip(np.split(order, cuts), np.split(first, cuts), strict=True):
-                if len(part):
-                    s, r = part[one], part[~one]
-                    keys.append(int((mini[part[0]] >> U64(40)) % U64(n)))
-                    blobs.append(pack(mini[s], whole[s], d[s], h[s], start[s], windows[s], d[r], h[r], start[r], windows[r]))
-            del rows
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), binaries(blobs)], names=["bucket", "blob"])
+                if len(at):
+                    got.append([mini, t.hashes(at, at + windows + length - 1), doc[a + of], dh[a + of], (at - t.first[of]).astype(np.uint32), windows.astype(np.uint32)])
+                    held += len(at)
+            if held > HELD_RUNS:
+                yield _packed_runs(got, n)
+                got, held = [], 0
+        if got:
+            yield _packed_runs(got, n)
 
     return kernel
 
@@ -182,17 +190,15 @@ def _string_kernel(make: Callable, length: int, n: int) -> Callable:
                 if not len(sus):
                     continue
                 of = np.repeat(np.arange(b - a), sizes)
-                at = t.first[of] + sus["start"]
                 bucket = (sus["mini"] >> U64(40)) % U64(n)
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                keys, blobs = [], []
-                for part in np.split(order, cuts):
-                    strings = t.strings(at[part], at[part] + sus["windows"][part].astype(np.int64) + length - 1)
-                    sizes_ = np.array([len(s) for s in strings], np.uint32)
-                    keys.append(int(bucket[part[0]]))
-                    blobs.append(pack(sus["mini"][part], doc[a + of[part]], dh[a + of[part]], sus["start"][part], sizes_, np.frombuffer(b"".join(strings), np.uint8)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), binaries(blobs)], names=["bucket", "blob"])
+                sus, of, bucket = sus[order], of[order], bucket[order]
+                at = t.first[of] + sus["start"]
+                strings = t.strings(at, at + sus["windows"].astype(np.int64) + length - 1)
+                lengths = np.array([len(x) for x in strings], np.uint32)
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+                blobs = [pack(sus["mini"][i:j], doc[a + of[i:j]], dh[a + of[i:j]], sus["start"][i:j], lengths[i:j], np.frombuffer(b"".join(strings[i:j]), np.uint8)) for i, j in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32), pa.int32()), binaries(blobs)], names=["bucket", "blob"])
 
     return kernel
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that the kernels look at together. A longer document is taken alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: White space of the contracts: space and the bytes 9 to 13.
 _SPACE = np.zeros(256, bool)
