@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import exchanged, table, with_text
+from .cluster import by_key, exchanged, record, schema_of, table, with_text
 from .textarrays import LOWER, U64, Words, binaries, byte_rolling, mix, pack, pieces, text_buffer, unpack
 from .transducers import Transducer, compose
 
@@ -26,6 +26,9 @@ THREATS = "kill murder hurt destroy burn shoot stab beat attack hang töten umbr
 TARGETS = "you your he she they him her them we it this that du ihr er sie dich euch wir vous tu il elle ils nous toi tú él ella ellos usted ustedes was were is are".split()
 NEGATIONS = "not no never none nobody neither nor without nicht kein keine nie niemals ohne pas jamais aucun sans ni nunca jamás sin".split()
 REPORTS = "said says say told called calls wrote writes quoted reported claimed sagte sagt nannte schrieb dit disait appelle écrit dijo dice llamó escribió".split()
+#: Insults known beforehand, and their weight; the labels add to them.
+INSULTS = "idiot idiots moron morons stupid imbecile trash garbage scum loser losers pathetic worthless disgusting clown clowns dumb filth vermin idiota estúpido imbécil basura crétin stupide minable ordure dumm dummkopf abschaum trottel".split()
+SEED_WEIGHT = 3.0
 CLASSES = {"threat": THREATS, "target": TARGETS, "negation": NEGATIONS, "report": REPORTS}
 ALPHABET = ["other", "insult", *CLASSES]
 #: Words that a negation reaches.
@@ -33,7 +36,7 @@ REACH = 3
 STEMS = (5, 6, 7, 8, 9, 10)
 #: Share of the toxic documents that an insult is in at least; it bounds the lexicon.
 SHARE = 0.004
-LEAST_ODDS, LEAST_Z = 2.0, 4.0
+LEAST_ODDS, LEAST_G = 2.0, 16.0
 #: Labelled rows that the curve is fitted on, at most.
 CURVE_ROWS = 20_000
 #: Rows of the label table up to which it is broadcast; beyond, the join shuffles.
@@ -133,8 +136,6 @@ def _positive_kernel(n_buckets: int):
 
 def _frequent_kernel(least: float):
     """Features in at least so many documents, bucket by bucket."""
-    from .cluster import by_key
-
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, ["bucket"]):
             h, n = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -169,8 +170,6 @@ def _negative_kernel(keys):
 
 
 def _add_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .cluster import by_key
-
     for (bucket,), rows in by_key(batches, ["bucket"]):
         total = sum(unpack(b)[0] for b in rows.column("blob").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), binaries([total.tobytes()])], names=["bucket", "blob"])
@@ -216,7 +215,7 @@ def design(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), np.log1p(x[:, : len(KINDS)]), x[:, len(KINDS)], x[:, -1] / 10])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     beta = np.zeros(x.shape[1])
     if len(y):
         for _ in range(50):
@@ -243,7 +242,7 @@ def _match_kernel(model, scored: bool):
                 yield pa.RecordBatch.from_arrays([batch.column("y"), binaries([r.tobytes() for r in x])], names=["y", "x"])
                 continue
             score = 1 / (1 + np.exp(-np.clip(design(x) @ beta, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield record(batch, ["doc_id", "held_out", "score", "predicted", *(["text"] if "row" in batch.schema.names else [])], [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *([batch.column("text")] if "row" in batch.schema.names else [])])
 
     return kernel
 
@@ -259,6 +258,17 @@ def labelled(rows: DataFrame, labels: DataFrame, label: str, usable: Column) ->
     return rows.join(F.broadcast(told) if n <= SMALL_LABELS else told, "doc_id"), n
 
 
+def surprise(pos: np.ndarray, positive: int, neg: np.ndarray, negative: int) -> np.ndarray:
+    """Log-likelihood ratio statistic of a feature's share among toxic and other documents being the same."""
+    total = positive + negative
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.where(seen > 0, seen, 1) / np.maximum(expected, 1e-12))
+
+    share = (pos + neg) / max(1, total)
+    return 2 * (part(pos, positive * share) + part(positive - pos, positive * (1 - share)) + part(neg, negative * share) + part(negative - neg, negative * (1 - share)))
+
+
 def train(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of insults, their weights, and the curve."""
     context = rows.sparkSession.sparkContext
@@ -275,21 +285,23 @@ def train(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, n
     parts = dict(exchanged(counted, 16).mapInArrow(_add_kernel, "bucket int, blob binary").collect()) if len(keys) else {}
     neg = np.concatenate([np.frombuffer(parts[k], np.int64) for k in sorted(parts)]) if parts else np.zeros(len(keys))
     odds = np.log((pos + 0.5) / (positive + 1)) - np.log((neg + 0.5) / (negative + 1))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    good = (odds >= LEAST_ODDS) & (z >= LEAST_Z)
+    good = (odds >= LEAST_ODDS) & (surprise(pos, positive, neg, negative) >= LEAST_G)
     keys, weights = keys[good], odds[good]
+    seeds = _word_hash(INSULTS)
+    fresh = ~np.isin(seeds, keys)
+    keys, weights = np.append(keys, seeds[fresh]), np.append(weights, np.full(fresh.sum(), SEED_WEIGHT))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, CURVE_ROWS / max(1, n)))).select("y", "text")
     model = context.broadcast((keys, weights, None))
     got = chosen.mapInArrow(_match_kernel(model, False), "y int, x binary").collect()
     x = np.array([np.frombuffer(r[1]) for r in got]).reshape(len(got), -1)
     if not len(got):
-        return keys, weights, np.array([-3.0, *([0.0] * (len(KINDS) + 2))])
+        return keys, weights, np.array([-3.0, *([2.0] * len(KINDS)), 1.0, 0.0])
     order = np.lexsort(x.T)
     return keys, weights, fit_logistic(design(x[order]), np.array([r[0] for r in got], np.float64)[order])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each document.
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each document; with `carry`, text and the other columns as `row`, too.
 
     Labels of rows with crc32(key as text) mod 3 = 1 are never read. A null or
     empty text has no clause and gets the score of no match. A null key is
@@ -297,9 +309,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     scores. Without usable labels every score is below the threshold; an empty
     table gives an empty table. Other columns are ignored.
     """
-    rows = with_text(docs, text, key)
-    model = docs.sparkSession.sparkContext.broadcast(train(rows, labels))
-    return rows.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))).mapInArrow(_match_kernel(model, True), SCHEMA)
+    rows = with_text(docs, text, key, carry)
+    model = docs.sparkSession.sparkContext.broadcast(train(rows.select("doc_id", "text"), labels))
+    return rows.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))).mapInArrow(_match_kernel(model, True), schema_of(SCHEMA + (", text string" if carry else ""), rows))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
