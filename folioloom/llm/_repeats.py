@@ -57,7 +57,7 @@ class Tokens:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc and dh tell documents apart and are never null, so that joins keep every row."""
-    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.hash("text").alias("dh"))
+    return docs.select("*", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.hash("text").alias("dh"))
 
 
 def _places(doc: np.ndarray, dh: np.ndarray, start: np.ndarray, *major: np.ndarray) -> np.ndarray:
@@ -241,7 +241,7 @@ def _window_kernel(solve: Callable) -> Callable:
 
 
 def repeated_windows(docs: DataFrame, make: Callable, solve: Callable, length: int, k: int) -> DataFrame:
-    """(doc_id, text, doc, dh, repeats): each row of `docs` with its repeated windows, a list of packed (start, windows).
+    """Each row of `docs` (doc_id, text, row if there is one) with `repeats`, its repeated windows as a list of packed (start, windows).
 
     make(data, offs) gives the Tokens of a piece of text.
     """
@@ -253,7 +253,7 @@ def repeated_windows(docs: DataFrame, make: Callable, solve: Callable, length: i
     strings = docs.join(suspects, ["doc", "dh"]).select("doc", "dh", "text", "suspects").dropDuplicates(["doc", "dh"]).mapInArrow(_string_kernel(make, length, n), "bucket int, blob binary")
     inner = exchanged(strings, n).mapInArrow(_window_kernel(solve), FOUND)
     repeats = found.where(F.octet_length("repeats") > 0).select("doc", "dh", "repeats").unionByName(inner.select("doc", "dh", "repeats")).groupBy("doc", "dh").agg(F.collect_list("repeats").alias("repeats"))
-    return docs.join(repeats, ["doc", "dh"], "left").select("doc_id", "text", "repeats")
+    return docs.join(repeats, ["doc", "dh"], "left").drop("doc", "dh")
 
 
 def covered(lists: list, first: np.ndarray, length: int) -> np.ndarray:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -20,10 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_text(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, text) with the names the kernels expect; other columns, clashing names included, stay out of them."""
+def with_text(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """(doc_id, text) with the names the kernels expect; other columns, clashing names included, stay out of them.
+
+    With `carry`, the other columns come along as one struct, `row`.
+    """
     ship(docs.sparkSession)
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    columns = [F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")]
+    if carry:
+        others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, key)]
+        columns.append((F.struct(*others) if others else F.struct(F.lit(True).alias("none"))).alias("row"))
+    return docs.select(*columns)
+
+
+def schema_of(ddl: str, rows: DataFrame) -> T.StructType:
+    """A kernel's columns, and `row` if it is carried along."""
+    schema = T.StructType.fromDDL(ddl)
+    return schema.add(rows.schema["row"]) if "row" in rows.columns else schema
+
+
+def record(batch: pa.RecordBatch, names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
+    """A kernel's batch of results, with `row` if it is carried along."""
+    if "row" in batch.schema.names:
+        names, columns = [*names, "row"], [*columns, batch.column("row")]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def restored(rows: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id", length: str | None = "n_chars") -> DataFrame:
+    """Rows of a stage with the columns of `docs` again; `length`, if there is one, follows the text."""
+    out = {key: F.col("doc_id"), text: F.col("text")}
+    columns = [out[c].alias(c) if c in out else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == length else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return rows.select(*columns)
 
 
 def buckets(docs: DataFrame) -> int:
@@ -75,11 +103,3 @@ def by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tupl
         held.append(batch.slice(a))
     if held:
         yield last, pa.Table.from_batches(held)
-
-
-def mapped(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
-
-
-def outer_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import table, with_text
+from .cluster import record, schema_of, table, with_text
 from .fm_index import FMIndex
 from .textarrays import ALNUM, LOWER, U64, Words, binaries, byte_rolling, expand, pieces, text_buffer
 
@@ -143,7 +143,7 @@ def _kernel(block, last: bool, full: bool):
             if not last:
                 flags = hit.astype(np.uint8).tobytes()
                 at = words.first.tolist()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), binaries([flags[a:b] for a, b in zip(at, at[1:], strict=False)]), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
+                yield record(batch, ["doc_id", "text", "hits", "items"], [batch.column("doc_id"), batch.column("text"), binaries([flags[a:b] for a, b in zip(at, at[1:], strict=False)]), pa.array(items, pa.list_(pa.string()))])
                 continue
             sums = np.append(0, np.cumsum(hit))
             n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
@@ -151,12 +151,12 @@ def _kernel(block, last: bool, full: bool):
             kept = pa.array(cut(data, offs, words, hit), pa.binary()).cast(pa.string()) if full else pa.nulls(batch.num_rows, pa.string())
             text = batch.column("text") if full else pa.nulls(batch.num_rows, pa.string())
             columns = [batch.column("doc_id"), text, pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array(n_hit > 0), kept]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "kept"])
+            yield record(batch, ["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "kept"], columns)
 
     return kernel
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, full: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, full: bool = True, carry: bool = False) -> DataFrame:
     """Words of each document inside an occurrence of a window of `window` consecutive words of a benchmark item.
 
     Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. An
@@ -171,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     ignored. The benchmark is broadcast in blocks of BLOCK_TEXT bytes, one after
     the other over all documents, so its size is not bounded.
     """
-    rows = with_text(docs, text, key)
+    rows = with_text(docs, text, key, carry)
     items = benchmark.select(F.col(f"`{item}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("string").alias("body"))
     total = items.agg(F.sum(F.octet_length("body"))).head()[0] or 0
     blocks = int(total // BLOCK_TEXT) + 1
@@ -180,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
         got = items.where(F.pmod(F.xxhash64("id", "body"), F.lit(blocks)) == b).distinct().orderBy("id", "body").collect()
         block = context.broadcast(phrases([r[0] for r in got], [r[1] for r in got], window))
         last = b == blocks - 1
-        rows = rows.mapInArrow(_kernel(block, last, full), SCHEMA if last else CARRIED)
+        rows = rows.mapInArrow(_kernel(block, last, full), schema_of(SCHEMA if last else CARRIED, rows))
     return rows
 
 

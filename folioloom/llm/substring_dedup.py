@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _repeats
-from .cluster import table, with_text
+from .cluster import record, schema_of, table, with_text
 from .textarrays import NOT_SPACE, Rolling, Words, byte_rolling, combine, expand, pieces, text_buffer
 
 LENGTH = 20
 GRAM = 4
+NAMES = ["doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept"]
 SCHEMA = "doc_id bigint, text string, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
@@ -80,16 +81,16 @@ def _result_kernel(length: int):
                 kept += [whole[i : max(i, j - 1)] for i, j in zip(at, at[1:], strict=False)]
             counts_, removed_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, removed))
             shas = [hashlib.sha256(x).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(counts_, pa.int64()), pa.array(removed_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield record(batch, NAMES, [batch.column("doc_id"), batch.column("text"), pa.array(counts_, pa.int64()), pa.array(removed_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())])
 
     return kernel
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, carry: bool = False) -> DataFrame:
     """Words of each document covered by a window of `length` words that also starts earlier are removed.
 
     Gives doc_id, text (as it was), n_words, n_removed, kept_sha256 and kept (the
-    words left, joined by one space). Earlier: in a document with a smaller key,
+    words left, joined by one space), and `row` with `carry`. Earlier: in a document with a smaller key,
     or before in the same document; windows are judged on the input.
 
     A null or empty text, or one of white space, has no words and the empty
@@ -98,7 +99,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     documents, ordered by a hash of the text. Null keys come first. An empty
     table gives an empty table. Other columns are ignored.
     """
-    return _repeats.repeated_windows(with_text(docs, text, key), WordTokens, equal_windows(length), length, GRAM).mapInArrow(_result_kernel(length), SCHEMA)
+    rows = with_text(docs, text, key, carry)
+    return _repeats.repeated_windows(rows, WordTokens, equal_windows(length), length, GRAM).mapInArrow(_result_kernel(length), schema_of(SCHEMA, rows))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
