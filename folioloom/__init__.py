@@ -1,0 +1 @@
+"""Archive analytics on Spark: ordered page sequences, folio links, provenance, serving views and exports."""

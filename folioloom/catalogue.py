@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "segmentation_stats_by_inventory"
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
