@@ -80,11 +80,11 @@ def confidence_from_number(c: Column | str) -> Column:
 def day(c: Column | str) -> Column:
     """A full ISO date, else null."""
     c = col(c)
-    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(c, F.lit("yyyy-M-d")))
+    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(c, "yyyy-M-d"))
 
 
 def _compact(c: Column) -> Column:
-    return F.try_to_date(c, F.lit("yyyyMMdd"))
+    return F.try_to_date(c, "yyyyMMdd")
 
 
 def day_from(c: Column) -> Column:

@@ -446,3 +446,48 @@ def confidence_ranks(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT page_id, list_sort(list(folio)) AS folios FROM (SELECT DISTINCT page_id, folio FROM arch_folio) GROUP BY 1")
 def page_folio_sets(spark: SparkSession, sf: str) -> DataFrame:
     return A.pages(spark, sf).where("page_or_folio_number is not null").select("page_id", F.array_sort(F.array_distinct(folio_numbers("page_or_folio_number"))).alias("folios"))
+
+
+# -- nested exports and token rows: tests hold them against literal versions -------------------------------------
+
+
+def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The view in the columns of the archive model, as far as exports need them."""
+    none, off = F.lit(None).cast("string"), F.lit(False)
+    scan = A.scans(spark, sf)
+    inventory = A.inventories(spark, sf)
+    return {
+        "inventory": inventory.select(F.col("inventory_id").alias("id"), "inventory_number", none.alias("handle"), none.cast("date").alias("date_start"), none.cast("date").alias("date_end")),
+        "scan": scan.select(F.col("scan_id").alias("id"), "filename", none.alias("na_identifier"), F.concat(F.lit("https://images.example/"), "filename", F.lit("/info.json")).alias("iiif_image_info"), "inventory_id", F.lit(1000).alias("height"), F.lit(800).alias("width"), (F.col("scan_no") % 2 == 0).alias("has_transcriptions"), off.alias("has_entities"), off.alias("has_events")),
+        "page": A.pages(spark, sf).select(F.col("page_id").alias("id"), "scan_id", "recto_verso", "page_or_folio_number"),
+        "document": A.documents(spark, sf).select("id", "inventory_id", none.alias("title"), none.cast("date").alias("date_earliest_begin"), none.cast("date").alias("date_latest_end")),
+        "link": _links(spark, sf),
+    }
+
+
+@query()
+def manifest_json(spark: SparkSession, sf: str) -> DataFrame:
+    from .exports import manifests
+
+    t = _tables(spark, sf)
+    return manifests(t["inventory"], t["scan"], t["page"], t["document"], t["link"])
+
+
+@query()
+def document_jsonld(spark: SparkSession, sf: str) -> DataFrame:
+    from .exports import documents_jsonld
+
+    t = _tables(spark, sf)
+    return documents_jsonld(t["document"], t["link"], t["page"], t["scan"])
+
+
+@query()
+def segmentation_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Boundary tokens from orders: each customer's orders are a file of scans."""
+    from ..operators.state_machine import segmentation_events as solve
+
+    o = A.read(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    row = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = o.select(F.col("o_custkey").cast("string").alias("file"), row.alias("row"), F.concat(F.lit("AR_1.1_"), "o_custkey", F.lit("_"), F.format_string("%04d", row)).alias("filename"), F.when(k % 5 == 0, "START").when(k % 5 == 3, "END").alias("boundary"), F.when(k % 5 < 4, F.concat(F.lit("T"), (k / 7).cast("int"))).alias("identifier"), F.when(k % 6 == 0, "START").when(k % 6 == 4, "END").when(k % 6 == 5, "END/START").alias("parts"), F.when(k % 13 == 0, "cover").alias("other"))
+    return solve(rows)

@@ -1,0 +1,110 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioloom import functions as X
+from folioloom.functions import literals
+
+
+def value(spark, column, **row):
+    schema = ", ".join(f"{k} {v[1]}" for k, v in row.items())
+    df = spark.createDataFrame([tuple(v[0] for v in row.values())], schema) if row else spark.range(1)
+    return df.select(column.alias("v")).head()[0]
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("['695 ']", "695"), ("['695 ', '696']", "695,696"), ("695", "695"), (None, None), ("[]", None), ("n/a", "n/a"), ("['', ' ']", None), ("12 [sic", "12 [sic")],
+)
+def test_folio_text(raw, want):
+    assert literals.folio_text(raw) == want
+
+
+@pytest.mark.parametrize(("raw", "want"), [("['foo', 'bar']", "foo bar"), ("[]", None), ("'x'", "x"), ("plain text", "plain text"), ("12", "12"), (None, None), ("  ", None)])
+def test_header_text(raw, want):
+    assert literals.header_text(raw) == want
+
+
+def test_literal_udfs(spark):
+    df = spark.createDataFrame([("['695 ', '696']", "['a', ' b']"), (None, None)], "f string, h string")
+    assert [tuple(r) for r in df.select(literals.parse_folios("f"), literals.parse_header("h")).collect()] == [("695,696", "a b"), (None, None)]
+
+
+def test_folio_numbers(spark):
+    assert value(spark, X.folio_numbers("s"), s=("695, 696,x, 12a,\t7", "string")) == [695, 696, 7]
+
+
+@pytest.mark.parametrize(("name", "want"), [("AR_1_0001", 1), ("AR_1_0571A", 571), ("AR_1_P01", None), (None, None)])
+def test_scan_order(spark, name, want):
+    assert value(spark, X.scan_order("s"), s=(name, "string")) == want
+
+
+def test_natural_order(spark):
+    df = spark.createDataFrame([(x,) for x in ["9999", "1053B", "1000", "1053", "999", "1053A", None]], "n string")
+    assert [r.n for r in df.orderBy(X.natural_key("n")).collect()] == [None, "999", "1000", "1053", "1053A", "1053B", "9999"]
+    assert value(spark, X.natural_text("s"), s=("1053a", "string")) == "0000001053|A"
+
+
+@pytest.mark.parametrize(
+    ("dates", "want"),
+    [
+        (["1610"], ("1610-01-01", "1610-12-31")),
+        (["17140214"], ("1714-02-14", "1714-02-14")),
+        (["1618-10-05", "1619"], ("1618-10-05", "1619-12-31")),
+        (["1618-02/1620-02"], ("1618-02-01", "1620-02-29")),
+        (["1618/16191231"], ("1618-01-01", "1619-12-31")),
+        (["1618-10", "1619"], None),
+        (["soon"], None),
+        ([], None),
+    ],
+)
+def test_dates_of(spark, dates, want):
+    got = value(spark, X.dates_of("d"), d=(dates, "array<string>"))
+    assert (got and (str(got[0]), str(got[1]))) == want
+
+
+def test_date_range(spark):
+    day = dt.date(1618, 10, 5)
+    assert tuple(value(spark, X.date_range("s"), s=("1618-10-05", "string"))) == (day, day)
+    assert tuple(value(spark, X.date_range("s"), s=("1619-10-07/1619-10-15", "string"))) == (dt.date(1619, 10, 7), dt.date(1619, 10, 15))
+    assert tuple(value(spark, X.date_range("s"), s=(None, "string"))) == (None, None)
+
+
+@pytest.mark.parametrize(
+    ("row", "want"),
+    [
+        (("at Easter", None, None, None, None), "at Easter"),
+        ((None, "1700-01-01", "1700-01-01", "1700-01-01", "1700-01-01"), "1700-01-01"),
+        (("", "1700-01-01", "1700-12-31", "1701-01-01", "1701-12-31"), "1700-01-01 - 1700-12-31 to 1701-01-01 - 1701-12-31"),
+        ((None, "1700-01-01", None, None, None), "From 1700-01-01"),
+        ((None, None, None, "1701-01-01", "1701-01-01"), "Until 1701-01-01"),
+        ((None, None, "1700-01-01", None, "1701-01-01"), "Unknown date"),
+    ],
+)
+def test_date_label(spark, row, want):
+    columns = [F.lit(row[0]).cast("string"), *(F.lit(x).cast("date") for x in row[1:])]
+    assert value(spark, X.date_label(*columns)) == want
+
+
+def test_small_ones(spark):
+    assert value(spark, X.padded_filename("s"), s=("AR_1068_617", "string")) == "AR_1068_0617"
+    assert value(spark, X.padded_filename("s"), s=("AR_1068_12345", "string")) == "AR_1068_12345"
+    assert value(spark, X.inventory_of_file("s"), s=("AR_1.1_8697_0001", "string")) == "8697"
+    assert value(spark, X.inventory_of_file("s"), s=("AR_1.1_8697_P1", "string")) is None
+    assert value(spark, X.uuid_or_null("s"), s=("{ABCDEF00-0000-0000-0000-000000000001}", "string")) == "abcdef00-0000-0000-0000-000000000001"
+    assert value(spark, X.uuid_or_null("s"), s=("nope", "string")) is None
+    assert value(spark, X.type_ids("s"), s=("http://x/abcdef00-0000-0000-0000-000000000001; y;http://x/abcdef00-0000-0000-0000-000000000001", "string")) == ["abcdef00-0000-0000-0000-000000000001"]
+    assert value(spark, X.languages("s"), s=(" FRA,nld,,unknown,fra", "string")) == ["fra", "nld"]
+    assert value(spark, X.same_as("s"), s=(" same as  AR_1_2 ", "string")) == "AR_1_2"
+    assert value(spark, X.to_int("s"), s=("2.0", "string")) is None
+    assert [value(spark, X.placeholder("s"), s=(x, "string")) for x in ("#NAME?", " - ", "x", None)] == [True, True, False, False]
+    assert value(spark, X.slug("s"), s=(" Ab_c d! ", "string")) == "ab-c-d"
+    assert value(spark, X.scan_type("s"), s=(" Double ", "string")) == "Double"
+    assert value(spark, X.effective_end("a", "b"), a=(5, "int"), b=(3, "int")) == 5
+    assert [value(spark, X.confidence_from_number("s"), s=(x, "string")) for x in ("1.0", "0.8", "0.5", "VALIDATED")] == ["DEFINITIVE", "FOLIO_RANGE", "CANDIDATE", "VALIDATED"]
+    assert value(spark, X.contains_folded("s", "%A"), s=("xa%a", "string")) is True
+    assert value(spark, X.page_label(F.lit("12"), F.lit("Recto"), F.lit("abcdefghij"))) == "Fol. 12r"
+    assert value(spark, X.image_url("s", "200,"), s=("http://i/info.json", "string")) == "http://i/full/200,/0/default.jpg"
