@@ -46,15 +46,19 @@ def _names(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def cover_ranks(text: np.ndarray, n: int) -> np.ndarray:
-    """Ranks of the suffixes at cover positions below n, each of its own; 0 elsewhere. text: n bytes and 16 zeros at least."""
+    """Ranks of the suffixes at cover positions below n, each of its own. text: n bytes and 16 zeros at least.
+
+    Beyond the end, suffixes are empty: they rank below all others, later ones first.
+    """
     at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(n) % PERIOD])
     high, low = _word(text, at, 8), _word(text, at + 8, 5)
     ranks = np.zeros(n + 2 * PERIOD, np.int64)
+    ranks[n:] = -np.arange(2 * PERIOD)
     ranks[at] = names = _names(np.lexsort((low, high)), high, low)
     step = PERIOD
     while len(at) and names.max() < len(at):
-        follow = np.where(at + step < n, ranks[np.minimum(at + step, n)], 0)
-        key = names << 32 | follow
+        follow = np.where(at + step < n, ranks[np.minimum(at + step, n)], n - at - step)
+        key = (names << 32) + follow
         ranks[at] = names = _names(np.argsort(key, kind="stable"), key)
         step *= 2
     return ranks
@@ -92,13 +96,13 @@ def _sorted_bucket(text: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.nd
     lists = []
     for r in range(PERIOD):
         mine = np.flatnonzero(residue == r)
-        lists.append(mine[np.argsort(group[mine] << 32 | ranks[t[mine] + OFFSET[r, r]], kind="stable")])
+        lists.append(mine[np.argsort((group[mine] << 32) + ranks[t[mine] + OFFSET[r, r]], kind="stable")])
     place = np.zeros(len(t), np.int64)
     for i, a in enumerate(lists):
         for j, b in enumerate(lists):
             if len(a) and len(b):
                 d = OFFSET[i, j]
-                place[a] += np.searchsorted(group[b] << 32 | ranks[t[b] + d], group[a] << 32 | ranks[t[a] + d])
+                place[a] += np.searchsorted((group[b] << 32) + ranks[t[b] + d], (group[a] << 32) + ranks[t[a] + d])
     done = np.empty_like(t)
     done[place] = t
     at[where] = done
