@@ -64,6 +64,17 @@ def _places(doc: np.ndarray, dh: np.ndarray, start: np.ndarray, *major: np.ndarr
     return np.lexsort((start, dh, doc, *major[::-1]))
 
 
+def _later(x: np.ndarray, first: np.ndarray, doc: np.ndarray, dh: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of x (sorted by class and place; `first` marks the first of a class) lie at a later place than the first of their class.
+
+    Rows that repeat a document bring the same places again; these are not later.
+    """
+    if not len(x):
+        return first
+    lead = x[np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))]
+    return (doc[x] != doc[lead]) | (dh[x] != dh[lead]) | (start[x] != start[lead])
+
+
 def _packed_runs(got: list[list[np.ndarray]], n: int) -> pa.RecordBatch:
     """Runs by bucket: the first of each string with its hashes, the others as places only."""
     mini, whole, d, h, start, windows = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -78,13 +89,14 @@ def _packed_runs(got: list[list[np.ndarray]], n: int) -> pa.RecordBatch:
         x = order[many]
         order[many] = x[_places(d[x], h[x], start[x], mini[x], whole[x])]
         first[1:] = ~same
+    later = _later(order, first, d, h, start)
     bucket = (mini[order] >> U64(40)) % U64(n)
     by = np.argsort(bucket, kind="stable")
-    order, first, bucket = order[by], first[by], bucket[by]
+    order, first, later, bucket = order[by], first[by], later[by], bucket[by]
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     blobs = []
     for i, j in zip(cuts, cuts[1:], strict=False):
-        s, r = order[i:j][first[i:j]], order[i:j][~first[i:j]]
+        s, r = order[i:j][first[i:j]], order[i:j][later[i:j]]
         blobs.append(pack(mini[s], whole[s], d[s], h[s], start[s], windows[s], d[r], h[r], start[r], windows[r]))
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32), pa.int32()), binaries(blobs)], names=["bucket", "blob"])
 
@@ -165,7 +177,7 @@ def _match_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         several = np.zeros(len(firsts), bool)
         several[1:] |= m[1:] == m[:-1]
         several[:-1] |= m[1:] == m[:-1]
-        sus, rep = firsts[several], x[~first]
+        sus, rep = firsts[several], x[_later(x, first, d, h, start)]
         every = [np.concatenate(c) for c in ((d[rep], d2, d[sus]), (h[rep], h2, h[sus]), (start[rep], start2, start[sus]), (windows[rep], windows2, windows[sus]))]
         kind = np.zeros(len(every[0]), np.int8)
         kind[len(rep) + len(d2) :] = 1
@@ -224,9 +236,9 @@ def _window_kernel(solve: Callable) -> Callable:
                 of = mine[string]
                 at = start[of].astype(np.int64) + window
                 by = _places(d[of], h[of], at, kind)
-                later = np.zeros(len(by), bool)
-                later[1:] = kind[by][1:] == kind[by][:-1]
-                by = by[later]
+                first = np.ones(len(by), bool)
+                first[1:] = kind[by][1:] != kind[by][:-1]
+                by = by[_later(by, first, d[of], h[of], at)]
                 if len(by):
                     # windows in a row of one document become one repeat
                     by = by[_places(d[of[by]], h[of[by]], at[by])]
@@ -250,7 +262,8 @@ def repeated_windows(docs: DataFrame, make: Callable, solve: Callable, length: i
     runs = docs.select("doc", "dh", "text").mapInArrow(_run_kernel(make, length, k, n), "bucket int, blob binary")
     found = settled(exchanged(runs, n).mapInArrow(_match_kernel, FOUND))
     suspects = found.where(F.octet_length("suspects") > 0).groupBy("doc", "dh").agg(F.collect_list("suspects").alias("suspects"))
-    strings = docs.join(suspects, ["doc", "dh"]).select("doc", "dh", "text", "suspects").dropDuplicates(["doc", "dh"]).mapInArrow(_string_kernel(make, length, n), "bucket int, blob binary")
+    # All columns of `docs` stay, as in the last join: its exchange is then the same one, and is made once.
+    strings = docs.join(suspects, ["doc", "dh"]).mapInArrow(_string_kernel(make, length, n), "bucket int, blob binary")
     inner = exchanged(strings, n).mapInArrow(_window_kernel(solve), FOUND)
     repeats = found.where(F.octet_length("repeats") > 0).select("doc", "dh", "repeats").unionByName(inner.select("doc", "dh", "repeats")).groupBy("doc", "dh").agg(F.collect_list("repeats").alias("repeats"))
     return docs.join(repeats, ["doc", "dh"], "left").drop("doc", "dh")
