@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _anchors
 from .cluster import buckets, by_key, exchanged, settled
-from .textarrays import U64, binaries, expand, pack, pieces, text_buffer, unpack
+from .textarrays import U64, binaries, expand, mix, pack, pieces, text_buffer, unpack
 
 NULL_ID = -(1 << 63)
 #: Bytes of packed text that one window sort takes; the strings of one minimiser stay together.
@@ -123,67 +123,70 @@ def _run_kernel(make: Callable, length: int, k: int, n: int) -> Callable:
     return kernel
 
 
-def _by_doc(doc: np.ndarray, dh: np.ndarray, repeats: np.ndarray, suspects: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each document. repeats: (start, windows); suspects: (minimiser, start, windows); kind tells which of the two an element is."""
-    order = np.lexsort((kind, dh, doc))
-    doc, dh, kind = doc[order], dh[order], kind[order]
-    repeats, suspects = repeats[order], suspects[order]
-    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (dh[1:] != dh[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(new[1:], len(doc))
-    mids = new + np.add.reduceat(kind == 0, new) if len(new) else new
-    for a in range(0, len(new), 20_000):
-        part = range(a, min(a + 20_000, len(new)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(doc[new[a : part.stop]], pa.int64()),
-                pa.array(dh[new[a : part.stop]], pa.int32()),
-                binaries([repeats[new[i] : mids[i]].tobytes() for i in part]),
-                binaries([suspects[mids[i] : ends[i]].tobytes() for i in part]),
-            ],
-            names=["doc", "dh", "repeats", "suspects"],
-        )
-
-
 _REPEAT = np.dtype([("start", "<u4"), ("windows", "<u4")])
 _SUSPECT = np.dtype([("mini", "<u8"), ("start", "<u4"), ("windows", "<u4")])
 
 
-def _rows(doc: np.ndarray, dh: np.ndarray, start: np.ndarray, windows: np.ndarray, mini: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
-    repeats, suspects = np.empty(len(doc), _REPEAT), np.empty(len(doc), _SUSPECT)
-    for x in (repeats, suspects):
-        x["start"], x["windows"] = start, windows
-    suspects["mini"] = mini
-    return _by_doc(doc, dh, repeats, suspects, kind)
+def _found(doc: np.ndarray, dh: np.ndarray, start: np.ndarray, windows: np.ndarray, mini: np.ndarray, kind: np.ndarray, n: int) -> pa.RecordBatch:
+    """Repeats (kind 0) and suspects (1), packed by bucket of document."""
+    bucket = mix(doc.view(U64) ^ dh.astype(np.int64).view(U64)) % U64(n)
+    order = np.lexsort((start, dh, doc, bucket))
+    cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+    parts = [order[i:j] for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
+    blobs = [pack(doc[x], dh[x], start[x].astype(np.uint32), windows[x].astype(np.uint32), mini[x], kind[x].astype(np.int8)) for x in parts]
+    return pa.RecordBatch.from_arrays([pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), binaries(blobs)], names=["bucket", "blob"])
 
 
-def _match_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _doc_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, with its repeats and suspects."""
     for _, group in by_key(batches, ["bucket"]):
-        parts = [unpack(b) for b in group.column("blob").to_pylist()]
-        mini, whole, d, h, start, windows, d2, h2, start2, windows2 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts, group
-        order = np.argsort(mini, kind="stable")
-        m = mini[order]
-        same = m[1:] == m[:-1]
-        many = np.zeros(len(order), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        x = order[many]
-        x = x[_places(d[x], h[x], start[x], mini[x], whole[x])]
-        m, w = mini[x], whole[x]
-        first = np.ones(len(x), bool)
-        first[1:] = (m[1:] != m[:-1]) | (w[1:] != w[:-1])
-        firsts = x[first]
-        m = mini[firsts]
-        several = np.zeros(len(firsts), bool)
-        several[1:] |= m[1:] == m[:-1]
-        several[:-1] |= m[1:] == m[:-1]
-        sus, rep = firsts[several], x[_later(x, first, d, h, start)]
-        every = [np.concatenate(c) for c in ((d[rep], d2, d[sus]), (h[rep], h2, h[sus]), (start[rep], start2, start[sus]), (windows[rep], windows2, windows[sus]))]
-        kind = np.zeros(len(every[0]), np.int8)
-        kind[len(rep) + len(d2) :] = 1
-        minis = np.zeros(len(kind), U64)
-        minis[kind == 1] = mini[sus]
-        yield from _rows(*every, minis, kind)
+        doc, dh, start, windows, mini, kind = (np.concatenate(x) for x in zip(*(unpack(b) for b in group.column("blob").to_pylist()), strict=True))
+        order = np.lexsort((start, kind, dh, doc))
+        doc, dh, kind = doc[order], dh[order], kind[order]
+        repeats, suspects = np.empty(len(doc), _REPEAT), np.empty(len(doc), _SUSPECT)
+        for x in (repeats, suspects):
+            x["start"], x["windows"] = start[order], windows[order]
+        suspects["mini"] = mini[order]
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (dh[1:] != dh[:-1])))
+        ends = np.append(new[1:], len(doc))
+        mids = new + np.add.reduceat((kind == 0).astype(np.int64), new)
+        for a in range(0, len(new), 20_000):
+            part = range(a, min(a + 20_000, len(new)))
+            columns = [pa.array(doc[new[a : part.stop]], pa.int64()), pa.array(dh[new[a : part.stop]], pa.int32()), binaries([repeats[new[i] : mids[i]].tobytes() for i in part]), binaries([suspects[mids[i] : ends[i]].tobytes() for i in part])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "dh", "repeats", "suspects"])
+
+
+def _match_kernel(n: int) -> Callable:
+    return lambda batches: (_matched(group, n) for _, group in by_key(batches, ["bucket"]))
+
+
+def _matched(group: pa.Table, n: int) -> pa.RecordBatch:
+    parts = [unpack(b) for b in group.column("blob").to_pylist()]
+    mini, whole, d, h, start, windows, d2, h2, start2, windows2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts, group
+    order = np.argsort(mini, kind="stable")
+    m = mini[order]
+    same = m[1:] == m[:-1]
+    many = np.zeros(len(order), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    x = order[many]
+    x = x[_places(d[x], h[x], start[x], mini[x], whole[x])]
+    m, w = mini[x], whole[x]
+    first = np.ones(len(x), bool)
+    first[1:] = (m[1:] != m[:-1]) | (w[1:] != w[:-1])
+    firsts = x[first]
+    m = mini[firsts]
+    several = np.zeros(len(firsts), bool)
+    several[1:] |= m[1:] == m[:-1]
+    several[:-1] |= m[1:] == m[:-1]
+    sus, rep = firsts[several], x[_later(x, first, d, h, start)]
+    every = [np.concatenate(c) for c in ((d[rep], d2, d[sus]), (h[rep], h2, h[sus]), (start[rep], start2, start[sus]), (windows[rep], windows2, windows[sus]))]
+    kind = np.zeros(len(every[0]), np.int8)
+    kind[len(rep) + len(d2) :] = 1
+    minis = np.zeros(len(kind), U64)
+    minis[kind == 1] = mini[sus]
+    return _found(*every, minis, kind, n)
 
 
 def _string_kernel(make: Callable, length: int, n: int) -> Callable:
@@ -196,7 +199,7 @@ def _string_kernel(make: Callable, length: int, n: int) -> Callable:
             doc, dh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "dh"))
             for a, b in pieces(offs):
                 t = make(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                found = [np.frombuffer(b"".join(x), _SUSPECT) for x in lists[a:b]]
+                found = [np.frombuffer(x, _SUSPECT) for x in lists[a:b]]
                 sizes = np.array([len(x) for x in found])
                 sus = np.concatenate(found)
                 if not len(sus):
@@ -215,7 +218,7 @@ def _string_kernel(make: Callable, length: int, n: int) -> Callable:
     return kernel
 
 
-def _window_kernel(solve: Callable) -> Callable:
+def _window_kernel(solve: Callable, n: int) -> Callable:
     """solve(text, offs): (string, window) of each window that occurs more than once, and its class; windows of a class are equal."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +249,7 @@ def _window_kernel(solve: Callable) -> Callable:
                     new = np.append(True, (dd[1:] != dd[:-1]) | (hh[1:] != hh[:-1]) | (pp[1:] != pp[:-1] + 1))
                     i = np.flatnonzero(new)
                     runs = np.diff(np.append(i, len(by)))
-                    yield from _rows(dd[i], hh[i], pp[i], runs, np.zeros(len(i), U64), np.zeros(len(i), np.int8))
+                    yield _found(dd[i], hh[i], pp[i], runs, np.zeros(len(i), U64), np.zeros(len(i), np.int8), n)
                 a, done = b, int(size[b - 1])
 
     return kernel
@@ -260,12 +263,17 @@ def repeated_windows(docs: DataFrame, make: Callable, solve: Callable, length: i
     docs = keyed(docs)
     n = buckets(docs)
     runs = docs.select("doc", "dh", "text").mapInArrow(_run_kernel(make, length, k, n), "bucket int, blob binary")
-    found = settled(exchanged(runs, n).mapInArrow(_match_kernel, FOUND))
-    suspects = found.where(F.octet_length("suspects") > 0).groupBy("doc", "dh").agg(F.collect_list("suspects").alias("suspects"))
+    packed = "bucket int, blob binary"
+
+    def by_document(found: DataFrame) -> DataFrame:
+        return exchanged(found, n).mapInArrow(_doc_kernel, FOUND)
+
+    found = settled(by_document(exchanged(runs, n).mapInArrow(_match_kernel(n), packed)))
     # All columns of `docs` stay, as in the last join: its exchange is then the same one, and is made once.
-    strings = docs.join(suspects, ["doc", "dh"]).mapInArrow(_string_kernel(make, length, n), "bucket int, blob binary")
-    inner = exchanged(strings, n).mapInArrow(_window_kernel(solve), FOUND)
-    repeats = found.where(F.octet_length("repeats") > 0).select("doc", "dh", "repeats").unionByName(inner.select("doc", "dh", "repeats")).groupBy("doc", "dh").agg(F.collect_list("repeats").alias("repeats"))
+    strings = docs.join(found.where(F.octet_length("suspects") > 0).select("doc", "dh", "suspects"), ["doc", "dh"]).mapInArrow(_string_kernel(make, length, n), packed)
+    inner = by_document(exchanged(strings, n).mapInArrow(_window_kernel(solve, n), packed))
+    every = found.where(F.octet_length("repeats") > 0).select("doc", "dh", "repeats").unionByName(inner.select("doc", "dh", "repeats"))
+    repeats = every.groupBy("doc", "dh").agg(F.collect_list("repeats").alias("repeats"))
     return docs.join(repeats, ["doc", "dh"], "left").drop("doc", "dh")
 
 
