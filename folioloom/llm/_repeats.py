@@ -9,7 +9,9 @@
    several different strings ("suspects"): only there can windows repeat that
    are not repeats of whole runs. Runs of text that occurs once end here.
 3. The first occurrence of each suspect string travels as packed text to its
-   minimiser's bucket, where windows are sorted and compared exactly.
+   minimiser's bucket, where windows are sorted and compared exactly. A minimiser
+   with more than HOT strings is split: each window of them travels alone, by its
+   own hash, equal ones of a batch once.
 4. What both steps found is grouped by document and joined with the texts.
 
 Places are ordered by doc_id (null first), then the hash of the text, then the
@@ -35,6 +37,8 @@ NULL_ID = -(1 << 63)
 SORT_TEXT = 8 << 20
 #: Runs that a task gathers before it packs them.
 HELD_RUNS = 1 << 19
+#: Strings of one minimiser beyond which its windows are dealt out one by one.
+HOT = 20_000
 FOUND = "doc bigint, dh int, repeats binary, suspects binary"
 
 
@@ -124,11 +128,11 @@ def _run_kernel(make: Callable, length: int, k: int, n: int) -> Callable:
 
 
 _REPEAT = np.dtype([("start", "<u4"), ("windows", "<u4")])
-_SUSPECT = np.dtype([("mini", "<u8"), ("start", "<u4"), ("windows", "<u4")])
+_SUSPECT = np.dtype([("mini", "<u8"), ("start", "<u4"), ("windows", "<u4"), ("hot", "u1")])
 
 
 def _found(doc: np.ndarray, dh: np.ndarray, start: np.ndarray, windows: np.ndarray, mini: np.ndarray, kind: np.ndarray, n: int) -> pa.RecordBatch:
-    """Repeats (kind 0) and suspects (1), packed by bucket of document."""
+    """Repeats (kind 0), suspects (1) and suspects of a hot minimiser (2), packed by bucket of document."""
     bucket = mix(doc.view(U64) ^ dh.astype(np.int64).view(U64)) % U64(n)
     order = np.lexsort((start, dh, doc, bucket))
     cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
@@ -146,7 +150,7 @@ def _doc_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats, suspects = np.empty(len(doc), _REPEAT), np.empty(len(doc), _SUSPECT)
         for x in (repeats, suspects):
             x["start"], x["windows"] = start[order], windows[order]
-        suspects["mini"] = mini[order]
+        suspects["mini"], suspects["hot"] = mini[order], kind == 2
         new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (dh[1:] != dh[:-1])))
         ends = np.append(new[1:], len(doc))
         mids = new + np.add.reduceat((kind == 0).astype(np.int64), new)
@@ -156,11 +160,11 @@ def _doc_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "dh", "repeats", "suspects"])
 
 
-def _match_kernel(n: int) -> Callable:
-    return lambda batches: (_matched(group, n) for _, group in by_key(batches, ["bucket"]))
+def _match_kernel(n: int, hot: int) -> Callable:
+    return lambda batches: (_matched(group, n, hot) for _, group in by_key(batches, ["bucket"]))
 
 
-def _matched(group: pa.Table, n: int) -> pa.RecordBatch:
+def _matched(group: pa.Table, n: int, hot: int) -> pa.RecordBatch:
     parts = [unpack(b) for b in group.column("blob").to_pylist()]
     mini, whole, d, h, start, windows, d2, h2, start2, windows2 = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts, group
@@ -183,9 +187,10 @@ def _matched(group: pa.Table, n: int) -> pa.RecordBatch:
     sus, rep = firsts[several], x[_later(x, first, d, h, start)]
     every = [np.concatenate(c) for c in ((d[rep], d2, d[sus]), (h[rep], h2, h[sus]), (start[rep], start2, start[sus]), (windows[rep], windows2, windows[sus]))]
     kind = np.zeros(len(every[0]), np.int8)
-    kind[len(rep) + len(d2) :] = 1
+    _, of, strings = np.unique(mini[sus], return_inverse=True, return_counts=True)
+    kind[len(rep) + len(d2) :] = 1 + (strings[of] > hot)
     minis = np.zeros(len(kind), U64)
-    minis[kind == 1] = mini[sus]
+    minis[kind > 0] = mini[sus]
     return _found(*every, minis, kind, n)
 
 
@@ -205,14 +210,33 @@ def _string_kernel(make: Callable, length: int, n: int) -> Callable:
                 if not len(sus):
                     continue
                 of = np.repeat(np.arange(b - a), sizes)
-                bucket = (sus["mini"] >> U64(40)) % U64(n)
-                order = np.argsort(bucket, kind="stable")
-                sus, of, bucket = sus[order], of[order], bucket[order]
                 at = t.first[of] + sus["start"]
-                strings = t.strings(at, at + sus["windows"].astype(np.int64) + length - 1)
+                windows, mini = sus["windows"].astype(np.int64), sus["mini"]
+                gone = np.zeros(0, np.int64)
+                if sus["hot"].any():
+                    # Windows alone, by their own hash; of equal ones the first travels, the others are repeats.
+                    cold = sus["hot"] == 0
+                    single = expand(at[~cold], windows[~cold])
+                    own, h = np.repeat(of[~cold], windows[~cold]), t.hashes(single, single + length)
+                    place = single - t.first[own]
+                    x = _places(doc[a + own], dh[a + own], place, h)
+                    first = np.append(True, h[x[1:]] != h[x[:-1]])
+                    gone = x[_later(x, first, doc[a + own], dh[a + own], place)]
+                    gone = np.stack([a + own[gone], place[gone]])
+                    x = x[first]
+                    of, at, mini = np.append(of[cold], own[x]), np.append(at[cold], single[x]), np.append(mini[cold], h[x])
+                    windows = np.append(windows[cold], np.ones(len(x), np.int64))
+                bucket = (mini >> U64(40)) % U64(n)
+                order = np.argsort(bucket, kind="stable")
+                mini, of, at, windows, bucket = mini[order], of[order], at[order], windows[order], bucket[order]
+                start = (at - t.first[of]).astype(np.uint32)
+                strings = t.strings(at, at + windows + length - 1)
                 lengths = np.array([len(x) for x in strings], np.uint32)
                 cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-                blobs = [pack(sus["mini"][i:j], doc[a + of[i:j]], dh[a + of[i:j]], sus["start"][i:j], lengths[i:j], np.frombuffer(b"".join(strings[i:j]), np.uint8)) for i, j in zip(cuts, cuts[1:], strict=False)]
+                blobs = []
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    also = gone if i == 0 and len(gone) else np.zeros((2, 0), np.int64)
+                    blobs.append(pack(mini[i:j], doc[a + of[i:j]], dh[a + of[i:j]], start[i:j], lengths[i:j], np.frombuffer(b"".join(strings[i:j]), np.uint8), doc[also[0]], dh[also[0]], also[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32), pa.int32()), binaries(blobs)], names=["bucket", "blob"])
 
     return kernel
@@ -224,8 +248,10 @@ def _window_kernel(solve: Callable, n: int) -> Callable:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_key(batches, ["bucket"]):
             parts = [unpack(b) for b in group.column("blob").to_pylist()]
-            mini, d, h, start, sizes, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mini, d, h, start, sizes, text, d2, h2, start2 = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts, group
+            if len(d2):
+                yield _found(d2, h2, start2, np.ones(len(d2), np.int64), np.zeros(len(d2), U64), np.zeros(len(d2), np.int8), n)
             begin = np.append(0, np.cumsum(sizes.astype(np.int64)))
             order = np.argsort(mini, kind="stable")
             size = np.cumsum(sizes[order].astype(np.int64))
@@ -255,7 +281,7 @@ def _window_kernel(solve: Callable, n: int) -> Callable:
     return kernel
 
 
-def repeated_windows(docs: DataFrame, make: Callable, solve: Callable, length: int, k: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, make: Callable, solve: Callable, length: int, k: int, hot: int = HOT) -> DataFrame:
     """Each row of `docs` (doc_id, text, row if there is one) with `repeats`, its repeated windows as a list of packed (start, windows).
 
     make(data, offs) gives the Tokens of a piece of text.
@@ -268,7 +294,7 @@ def repeated_windows(docs: DataFrame, make: Callable, solve: Callable, length: i
     def by_document(found: DataFrame) -> DataFrame:
         return exchanged(found, n).mapInArrow(_doc_kernel, FOUND)
 
-    found = settled(by_document(exchanged(runs, n).mapInArrow(_match_kernel(n), packed)))
+    found = settled(by_document(exchanged(runs, n).mapInArrow(_match_kernel(n, hot), packed)))
     # All columns of `docs` stay, as in the last join: its exchange is then the same one, and is made once.
     strings = docs.join(found.where(F.octet_length("suspects") > 0).select("doc", "dh", "suspects"), ["doc", "dh"]).mapInArrow(_string_kernel(make, length, n), packed)
     inner = by_document(exchanged(strings, n).mapInArrow(_window_kernel(solve, n), packed))

@@ -86,7 +86,7 @@ def _result_kernel(length: int):
     return kernel
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, carry: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, hot: int = _repeats.HOT, carry: bool = False) -> DataFrame:
     """Words of each document covered by a window of `length` words that also starts earlier are removed.
 
     Gives doc_id, text (as it was), n_words, n_removed, kept_sha256 and kept (the
@@ -100,7 +100,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     table gives an empty table. Other columns are ignored.
     """
     rows = with_text(docs, text, key, carry)
-    return _repeats.repeated_windows(rows, WordTokens, equal_windows(length), length, GRAM).mapInArrow(_result_kernel(length), schema_of(SCHEMA, rows))
+    return _repeats.repeated_windows(rows, WordTokens, equal_windows(length), length, GRAM, hot).mapInArrow(_result_kernel(length), schema_of(SCHEMA, rows))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

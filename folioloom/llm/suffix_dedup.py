@@ -83,7 +83,7 @@ def _result_kernel(length: int):
     return kernel
 
 
-def suffix_array_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, hot: int = _repeats.HOT) -> DataFrame:
     """Bytes of each document covered by a `length`-byte string that also starts earlier, counted, and what is left hashed.
 
     Earlier: in a document with a smaller key, or before in the same document.
@@ -93,7 +93,7 @@ def suffix_array_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id",
     different documents, ordered by a hash of the text. Null keys come first.
     An empty table gives an empty table. Other columns are ignored.
     """
-    return _repeats.repeated_windows(with_text(docs, text, key), Bytes, equal_windows(length), length, GRAM).mapInArrow(_result_kernel(length), SCHEMA)
+    return _repeats.repeated_windows(with_text(docs, text, key), Bytes, equal_windows(length), length, GRAM, hot).mapInArrow(_result_kernel(length), SCHEMA)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
