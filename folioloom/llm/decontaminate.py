@@ -35,15 +35,20 @@ class Phrases:
     items: list  # item ids as strings, or None
 
 
-def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    return byte_rolling(data, SEED).of(words.start, words.end)
+def word_hashes(data: np.ndarray, offs: np.ndarray, words: Words) -> np.ndarray:
+    """Hash of each word, taken a piece of text at a time."""
+    out = np.empty(len(words.start), U64)
+    for a, b in pieces(offs):
+        i, j = words.first[a], words.first[b]
+        out[i:j] = byte_rolling(data[offs[a] : offs[b]], SEED).of(words.start[i:j] - offs[a], words.end[i:j] - offs[a])
+    return out
 
 
 def phrases(ids: list, texts: list, window: int) -> Phrases:
     data, offs = text_buffer(pa.array(texts, pa.string()))
     data = LOWER[data]
     words = Words(data, offs, ALNUM)
-    h = word_hashes(data, words)
+    h = word_hashes(data, offs, words)
     known = np.unique(h)
     symbol = np.searchsorted(known, h) + 2
     size = np.minimum(words.counts, window)
@@ -66,7 +71,7 @@ def phrases(ids: list, texts: list, window: int) -> Phrases:
     return Phrases(known, rows, lengths, pairs[:, 1], first, [None if i is None else str(i) for i in ids])
 
 
-def shard_hits(data: np.ndarray, words: Words, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shard_hits(data: np.ndarray, offs: np.ndarray, words: Words, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whether each word of the shard is hit, and the distinct (document, item) pairs, from an index of the shard.
 
     Words outside the phrases' vocabulary cannot be hit. The index holds the runs
@@ -76,7 +81,7 @@ def shard_hits(data: np.ndarray, words: Words, p: Phrases) -> tuple[np.ndarray,
     none = np.zeros(0, np.int64)
     if not len(p.symbols) or not len(words.start):
         return hit, none, none
-    h = word_hashes(data, words)
+    h = word_hashes(data, offs, words)
     at = np.searchsorted(p.hashes, h)
     at[at == len(p.hashes)] = 0
     known = p.hashes[at] == h
@@ -129,7 +134,7 @@ def _kernel(block, last: bool, full: bool):
             data, offs = text_buffer(batch.column("text"))
             lower = LOWER[data]
             words = Words(lower, offs, ALNUM)
-            hit, doc, owner = shard_hits(lower, words, p)
+            hit, doc, owner = shard_hits(lower, offs, words, p)
             if "hits" in batch.schema.names:
                 before = b"".join(batch.column("hits").to_pylist())
                 hit = hit | (np.frombuffer(before, np.uint8) > 0)
