@@ -34,7 +34,7 @@ from .textarrays import U64, binaries, expand, mix, pack, pieces, text_buffer, u
 
 NULL_ID = -(1 << 63)
 #: Bytes of packed text that one window sort takes; the strings of one minimiser stay together.
-SORT_TEXT = 8 << 20
+SORT_TEXT = 2 << 20
 #: Runs that a task gathers before it packs them.
 HELD_RUNS = 1 << 19
 #: Strings of one minimiser beyond which its windows are dealt out one by one.

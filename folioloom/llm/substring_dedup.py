@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import _repeats
 from .cluster import record, schema_of, table, with_text
-from .textarrays import NOT_SPACE, Rolling, Words, byte_rolling, combine, expand, pieces, text_buffer
+from .textarrays import NOT_SPACE, Rolling, U64, Words, byte_rolling, combine, expand, mix, pieces, text_buffer
 
 LENGTH = 20
 GRAM = 4
@@ -29,7 +29,7 @@ class WordTokens(_repeats.Tokens):
         return combine(self.values, GRAM, 5)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return Rolling(self.values, 4).of(start, end)
+        return Rolling(mix(self.values + U64(4))).of(start, end)
 
     def strings(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
         """The words of each range joined by one space."""

@@ -7,6 +7,7 @@ for a word, a shingle or a byte window.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can; workers live on between stages."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, starting at 0) of a string or binary column; null is empty."""
+    release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -88,22 +98,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2^64 of any range of a sequence of 64-bit values, by prefix sums."""
+    """Polynomial hashes modulo 2^64 of any range of a sequence of 64-bit values, by prefix sums.
+
+    All share one base, and so one table of powers for each worker; hashes are told apart by the values.
+    """
 
-    _cache: dict[int, tuple] = {}
+    _tables: tuple[np.ndarray, np.ndarray] | None = None
 
-    def __init__(self, values: np.ndarray, seed: int = 1):
+    def __init__(self, values: np.ndarray):
         n = len(values)
-        powers, self.inverses = self._tables(seed, n)
+        powers, self.inverses = self.tables(n)
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(values * powers[:n], out=self.sums[1:])
 
     @classmethod
-    def _tables(cls, seed: int, n: int) -> tuple:
-        got = cls._cache.get(seed)
+    def tables(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        got = cls._tables
         if got is None or len(got[0]) < n + 1:
-            base = int(np.random.Generator(np.random.PCG64(seed)).integers(1 << 62)) * 4 + 3
-            size = max(n + 1, CHUNK_BYTES + 1)
+            base = 0x2545F4914F6CDD1D
+            size = max(n + 1, CHUNK_BYTES + CHUNK_BYTES // 4)
 
             def table(b: int) -> np.ndarray:
                 x = np.full(size, b, U64)
@@ -111,8 +124,8 @@ class Rolling:
                 return np.cumprod(x)
 
             got = table(base), table(pow(base, -1, 1 << 64))
-            if size <= 4 * CHUNK_BYTES:
-                cls._cache[seed] = got
+            if size <= 2 * CHUNK_BYTES:
+                cls._tables = got
         return got
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -132,7 +145,7 @@ def byte_values(seed: int) -> np.ndarray:
 
 
 def byte_rolling(data: np.ndarray, seed: int) -> Rolling:
-    return Rolling(byte_values(seed)[data], seed)
+    return Rolling(byte_values(seed)[data])
 
 
 def combine(parts: np.ndarray, k: int, seed: int) -> np.ndarray:
