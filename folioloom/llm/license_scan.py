@@ -44,7 +44,10 @@ IDENTIFIERS = {"apache": "apache", "mit": "mit", "lgpl": "lgpl", "agpl": "agpl",
 SURE = {"base": 0.9, "notice": 0.8, "tag": 0.95}
 
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
-_TAGGED = re.compile(r"(?:spdx-license-identifier|licensed under|released under|license expression)\s*:?\s*(?:the\s+)?([^\n]*)")
+#: White space, line breaks with the comment mark of the next line included.
+_GAP = re.compile(r"(?:\n[^\S\n]*(?://+|\*+(?!/)|#+|;+|--+|%+)|\s)*")
+#: What may stand between a tag and its expression.
+_OPEN = re.compile(rf"{_GAP.pattern}:?{_GAP.pattern}(?:the\b(?![.+-]))?")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -116,14 +119,12 @@ def label_of(identifier: str) -> str | None:
     return next((label for begin, label in sorted(IDENTIFIERS.items(), key=lambda x: -len(x[0])) if re.fullmatch(re.escape(begin) + r"(?:[-+.0-9].*)?", name)), None)
 
 
-def parse(text: str) -> tuple[str, list[frozenset[str]]] | None:
-    """The longest expression at the beginning of a (lower-case) line whose identifiers are all known."""
+def parse(text: str, at: int = 0) -> tuple[str, list[frozenset[str]]] | None:
+    """The longest expression at a place of a (lower-case) text whose identifiers are all known; it may go on over line breaks."""
     tokens: list[str] = []
     best = None
-    end = 0
-    for m in _TOKEN.finditer(text):
-        if text[end : m.start()].strip():
-            break
+    end = at
+    while m := _TOKEN.match(text, _GAP.match(text, end).end()):
         t = m[0].rstrip(".") or m[0]
         if t not in _RANK and t not in "()" and label_of(t) is None and (not tokens or tokens[-1] != "with"):
             break
@@ -163,14 +164,16 @@ def spaced(data: np.ndarray, words: Words) -> tuple[bytes, np.ndarray]:
     return body.tobytes(), at
 
 
-def scan(lower: str, body: str, automaton: ahocorasick.Automaton) -> tuple:
-    """(starts of contract phrases, their labels, all labels, score, expressions) of one document."""
-    starts, base, labels, doubt, tagged = [], set(), set(), 1.0, False
+def scan(lower: bytes, ends: np.ndarray, body: str, automaton: ahocorasick.Automaton) -> tuple:
+    """(starts of contract phrases, their labels, all labels, score, expressions) of one document, whose words end at `ends`."""
+    starts, base, labels, doubt, tags = [], set(), set(), 1.0, []
     seen = set()
+    words, upto = 0, 0
     for end, (size, found) in automaton.iter(body):
         for kind, label in found:
             if kind == "tag":
-                tagged = True
+                words, upto = words + body.count(" ", upto, end), end
+                tags.append(int(ends[words - 1]))
                 continue
             if kind == "base":
                 starts.append(body.count(" ", 0, end - size + 1))
@@ -180,9 +183,11 @@ def scan(lower: str, body: str, automaton: ahocorasick.Automaton) -> tuple:
                 seen.add((kind, label))
                 doubt *= 1 - SURE[kind]
     expressions = []
-    if tagged:
-        for m in _TAGGED.finditer(lower):
-            got = parse(m[1])
+    if tags:
+        text, at, byte = lower.decode(), 0, 0
+        for tag in tags:
+            at, byte = at + len(lower[byte:tag].decode()), tag
+            got = parse(text, _OPEN.match(text, at).end())
             if got:
                 expressions.append(got[0])
                 new = {label_of(i) for group in got[1] for i in group} - {None}
@@ -208,7 +213,7 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = piece.tobytes()
             for i in range(b - a):
                 mine = (body[at[i] : at[i + 1]] + b" ").decode()
-                rows.append(scan(whole[o[i] : o[i + 1]].decode() if " under " in mine or " license " in mine else "", mine, automaton))
+                rows.append(scan(whole[o[i] : o[i + 1]], words.end[words.first[i] : words.first[i + 1]] - o[i], mine, automaton))
         starts = [r[0] for r in rows]
         columns = [
             batch.column("doc_id"),
@@ -232,8 +237,9 @@ def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     first_word and last_word are null where there is none. Label lists are
     distinct, sorted, comma-joined, and empty without a label; the score is then
     0. A null or empty text has no words. Rows are independent, so repeated rows
-    and keys give repeated results; an empty table gives an empty table. A
-    malformed expression adds the part that parses. Other columns are ignored.
+    and keys give repeated results; an empty table gives an empty table. An
+    expression is looked for after every tag, over line breaks too; a malformed
+    one adds the part that parses. Other columns are ignored.
     """
     return with_text(docs, text, key).mapInArrow(_kernel, SCHEMA)
 

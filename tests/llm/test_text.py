@@ -118,6 +118,21 @@ def test_license_scan(spark):
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_reads_after_every_tag(spark):
+    rows = [
+        (1, "x; SPDX-License-Identifier: MIT y; SPDX-License-Identifier: GPL-2.0", ["mit", "gpl-2.0"]),
+        (2, "released under review, é SPDX-License-Identifier: GPL-2.0", ["gpl-2.0"]),
+        (3, "License-Expression: MIT", ["mit"]),
+        (4, "It is licensed\nunder the MIT", ["mit"]),
+        (5, "licensed  under  Apache-2.0\n or\nMIT", ["apache-2.0 or mit"]),
+        (6, "# Licensed\n# under the\n# MIT licence", ["mit"]),
+        (7, "/* licensed under\n * ISC\n */ or mit", ["isc"]),
+        (8, "licensed under thea MIT, released under", []),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert {r.doc_id: r.expressions for r in license_scan.license_scan(df).collect()} == {r[0]: r[2] for r in rows}
+
+
 def test_grammar():
     machine = toxicity.grammar()
     assert [o for o, _ in machine.run(["target", "insult"])] == ["other", "aimed"]
