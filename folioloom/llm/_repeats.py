@@ -14,8 +14,8 @@
    own hash, equal ones of a batch once.
 4. What both steps found is grouped by document and joined with the texts.
 
-Places are ordered by doc_id (null first), then the hash of the text, then the
-token. Rows with the same doc_id and text are one document; rows with the same
+Places are ordered by doc_id (null first), then two hashes of the text (128
+bits), then the token. Rows with the same doc_id and text are one document; rows with the same
 doc_id and different texts are different documents.
 """
 
@@ -39,7 +39,8 @@ SORT_TEXT = 2 << 20
 HELD_RUNS = 1 << 19
 #: Strings of one minimiser beyond which its windows are dealt out one by one.
 HOT = 20_000
-FOUND = "doc bigint, dh int, repeats binary, suspects binary"
+IDS = ["doc", "dh", "dg"]
+FOUND = "doc bigint, dh bigint, dg bigint, repeats binary, suspects binary"
 
 
 class Tokens:
@@ -60,15 +61,15 @@ class Tokens:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc and dh tell documents apart and are never null, so that joins keep every row."""
-    return docs.select("*", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.hash("text").alias("dh"))
+    """doc, dh and dg tell documents apart and are never null, so that joins keep every row."""
+    return docs.select("*", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("dh"), F.xxhash64(F.lit(1), "text").alias("dg"))
 
 
-def _places(doc: np.ndarray, dh: np.ndarray, start: np.ndarray, *major: np.ndarray) -> np.ndarray:
-    return np.lexsort((start, dh, doc, *major[::-1]))
+def _places(doc: np.ndarray, dh: np.ndarray, dg: np.ndarray, start: np.ndarray, *major: np.ndarray) -> np.ndarray:
+    return np.lexsort((start, dg, dh, doc, *major[::-1]))
 
 
-def _later(x: np.ndarray, first: np.ndarray, doc: np.ndarray, dh: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _later(x: np.ndarray, first: np.ndarray, doc: np.ndarray, dh: np.ndarray, dg: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which of x (sorted by class and place; `first` marks the first of a class) lie at a later place than the first of their class.
 
     Rows that repeat a document bring the same places again; these are not later.
@@ -76,12 +77,12 @@ def _later(x: np.ndarray, first: np.ndarray, doc: np.ndarray, dh: np.ndarray, st
     if not len(x):
         return first
     lead = x[np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))]
-    return (doc[x] != doc[lead]) | (dh[x] != dh[lead]) | (start[x] != start[lead])
+    return (doc[x] != doc[lead]) | (dh[x] != dh[lead]) | (dg[x] != dg[lead]) | (start[x] != start[lead])
 
 
 def _packed_runs(got: list[list[np.ndarray]], n: int) -> pa.RecordBatch:
     """Runs by bucket: the first of each string with its hashes, the others as places only."""
-    mini, whole, d, h, start, windows = (np.concatenate(x) for x in zip(*got, strict=True))
+    mini, whole, d, h, g, start, windows = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.lexsort((whole, mini))
     m, w = mini[order], whole[order]
     same = (m[1:] == m[:-1]) & (w[1:] == w[:-1])
@@ -91,9 +92,9 @@ def _packed_runs(got: list[list[np.ndarray]], n: int) -> pa.RecordBatch:
         many[1:] |= same
         many[:-1] |= same
         x = order[many]
-        order[many] = x[_places(d[x], h[x], start[x], mini[x], whole[x])]
+        order[many] = x[_places(d[x], h[x], g[x], start[x], mini[x], whole[x])]
         first[1:] = ~same
-    later = _later(order, first, d, h, start)
+    later = _later(order, first, d, h, g, start)
     bucket = (mini[order] >> U64(40)) % U64(n)
     by = np.argsort(bucket, kind="stable")
     order, first, later, bucket = order[by], first[by], later[by], bucket[by]
@@ -101,7 +102,7 @@ def _packed_runs(got: list[list[np.ndarray]], n: int) -> pa.RecordBatch:
     blobs = []
     for i, j in zip(cuts, cuts[1:], strict=False):
         s, r = order[i:j][first[i:j]], order[i:j][later[i:j]]
-        blobs.append(pack(mini[s], whole[s], d[s], h[s], start[s], windows[s], d[r], h[r], start[r], windows[r]))
+        blobs.append(pack(mini[s], whole[s], d[s], h[s], g[s], start[s], windows[s], d[r], h[r], g[r], start[r], windows[r]))
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32), pa.int32()), binaries(blobs)], names=["bucket", "blob"])
 
 
@@ -111,12 +112,12 @@ def _run_kernel(make: Callable, length: int, k: int, n: int) -> Callable:
         held = 0
         for batch in batches:
             data, offs = text_buffer(batch.column("text"))
-            doc, dh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "dh"))
+            doc, dh, dg = (batch.column(c).to_numpy(zero_copy_only=False) for c in IDS)
             for a, b in pieces(offs):
                 t = make(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 at, windows, mini, of = _anchors.runs(t.grams(), t.first, length, k)
                 if len(at):
-                    got.append([mini, t.hashes(at, at + windows + length - 1), doc[a + of], dh[a + of], (at - t.first[of]).astype(np.uint32), windows.astype(np.uint32)])
+                    got.append([mini, t.hashes(at, at + windows + length - 1), doc[a + of], dh[a + of], dg[a + of], (at - t.first[of]).astype(np.uint32), windows.astype(np.uint32)])
                     held += len(at)
             if held > HELD_RUNS:
                 yield _packed_runs(got, n)
@@ -131,33 +132,33 @@ _REPEAT = np.dtype([("start", "<u4"), ("windows", "<u4")])
 _SUSPECT = np.dtype([("mini", "<u8"), ("start", "<u4"), ("windows", "<u4"), ("hot", "u1")])
 
 
-def _found(doc: np.ndarray, dh: np.ndarray, start: np.ndarray, windows: np.ndarray, mini: np.ndarray, kind: np.ndarray, n: int) -> pa.RecordBatch:
+def _found(doc: np.ndarray, dh: np.ndarray, dg: np.ndarray, start: np.ndarray, windows: np.ndarray, mini: np.ndarray, kind: np.ndarray, n: int) -> pa.RecordBatch:
     """Repeats (kind 0), suspects (1) and suspects of a hot minimiser (2), packed by bucket of document."""
-    bucket = mix(doc.view(U64) ^ dh.astype(np.int64).view(U64)) % U64(n)
-    order = np.lexsort((start, dh, doc, bucket))
+    bucket = mix(doc.view(U64) ^ dh.view(U64)) % U64(n)
+    order = np.lexsort((start, dg, dh, doc, bucket))
     cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
     parts = [order[i:j] for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
-    blobs = [pack(doc[x], dh[x], start[x].astype(np.uint32), windows[x].astype(np.uint32), mini[x], kind[x].astype(np.int8)) for x in parts]
+    blobs = [pack(doc[x], dh[x], dg[x], start[x].astype(np.uint32), windows[x].astype(np.uint32), mini[x], kind[x].astype(np.int8)) for x in parts]
     return pa.RecordBatch.from_arrays([pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), binaries(blobs)], names=["bucket", "blob"])
 
 
 def _doc_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, with its repeats and suspects."""
     for _, group in by_key(batches, ["bucket"]):
-        doc, dh, start, windows, mini, kind = (np.concatenate(x) for x in zip(*(unpack(b) for b in group.column("blob").to_pylist()), strict=True))
-        order = np.lexsort((start, kind, dh, doc))
-        doc, dh, kind = doc[order], dh[order], kind[order]
+        doc, dh, dg, start, windows, mini, kind = (np.concatenate(x) for x in zip(*(unpack(b) for b in group.column("blob").to_pylist()), strict=True))
+        order = np.lexsort((start, kind, dg, dh, doc))
+        doc, dh, dg, kind = doc[order], dh[order], dg[order], kind[order]
         repeats, suspects = np.empty(len(doc), _REPEAT), np.empty(len(doc), _SUSPECT)
         for x in (repeats, suspects):
             x["start"], x["windows"] = start[order], windows[order]
         suspects["mini"], suspects["hot"] = mini[order], kind == 2
-        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (dh[1:] != dh[:-1])))
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (dh[1:] != dh[:-1]) | (dg[1:] != dg[:-1])))
         ends = np.append(new[1:], len(doc))
         mids = new + np.add.reduceat((kind == 0).astype(np.int64), new)
         for a in range(0, len(new), 20_000):
             part = range(a, min(a + 20_000, len(new)))
-            columns = [pa.array(doc[new[a : part.stop]], pa.int64()), pa.array(dh[new[a : part.stop]], pa.int32()), binaries([repeats[new[i] : mids[i]].tobytes() for i in part]), binaries([suspects[mids[i] : ends[i]].tobytes() for i in part])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "dh", "repeats", "suspects"])
+            columns = [pa.array(doc[new[a : part.stop]], pa.int64()), pa.array(dh[new[a : part.stop]], pa.int64()), pa.array(dg[new[a : part.stop]], pa.int64()), binaries([repeats[new[i] : mids[i]].tobytes() for i in part]), binaries([suspects[mids[i] : ends[i]].tobytes() for i in part])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*IDS, "repeats", "suspects"])
 
 
 def _match_kernel(n: int, hot: int) -> Callable:
@@ -166,7 +167,7 @@ def _match_kernel(n: int, hot: int) -> Callable:
 
 def _matched(group: pa.Table, n: int, hot: int) -> pa.RecordBatch:
     parts = [unpack(b) for b in group.column("blob").to_pylist()]
-    mini, whole, d, h, start, windows, d2, h2, start2, windows2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+    mini, whole, d, h, g, start, windows, d2, h2, g2, start2, windows2 = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts, group
     order = np.argsort(mini, kind="stable")
     m = mini[order]
@@ -175,7 +176,7 @@ def _matched(group: pa.Table, n: int, hot: int) -> pa.RecordBatch:
     many[1:] |= same
     many[:-1] |= same
     x = order[many]
-    x = x[_places(d[x], h[x], start[x], mini[x], whole[x])]
+    x = x[_places(d[x], h[x], g[x], start[x], mini[x], whole[x])]
     m, w = mini[x], whole[x]
     first = np.ones(len(x), bool)
     first[1:] = (m[1:] != m[:-1]) | (w[1:] != w[:-1])
@@ -184,8 +185,8 @@ def _matched(group: pa.Table, n: int, hot: int) -> pa.RecordBatch:
     several = np.zeros(len(firsts), bool)
     several[1:] |= m[1:] == m[:-1]
     several[:-1] |= m[1:] == m[:-1]
-    sus, rep = firsts[several], x[_later(x, first, d, h, start)]
-    every = [np.concatenate(c) for c in ((d[rep], d2, d[sus]), (h[rep], h2, h[sus]), (start[rep], start2, start[sus]), (windows[rep], windows2, windows[sus]))]
+    sus, rep = firsts[several], x[_later(x, first, d, h, g, start)]
+    every = [np.concatenate(c) for c in ((d[rep], d2, d[sus]), (h[rep], h2, h[sus]), (g[rep], g2, g[sus]), (start[rep], start2, start[sus]), (windows[rep], windows2, windows[sus]))]
     kind = np.zeros(len(every[0]), np.int8)
     _, of, strings = np.unique(mini[sus], return_inverse=True, return_counts=True)
     kind[len(rep) + len(d2) :] = 1 + (strings[of] > hot)
@@ -201,7 +202,7 @@ def _string_kernel(make: Callable, length: int, n: int) -> Callable:
         for batch in batches:
             data, offs = text_buffer(batch.column("text"))
             lists = batch.column("suspects").to_pylist()
-            doc, dh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "dh"))
+            doc, dh, dg = (batch.column(c).to_numpy(zero_copy_only=False) for c in IDS)
             for a, b in pieces(offs):
                 t = make(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 found = [np.frombuffer(x, _SUSPECT) for x in lists[a:b]]
@@ -219,9 +220,9 @@ def _string_kernel(make: Callable, length: int, n: int) -> Callable:
                     single = expand(at[~cold], windows[~cold])
                     own, h = np.repeat(of[~cold], windows[~cold]), t.hashes(single, single + length)
                     place = single - t.first[own]
-                    x = _places(doc[a + own], dh[a + own], place, h)
+                    x = _places(doc[a + own], dh[a + own], dg[a + own], place, h)
                     first = np.append(True, h[x[1:]] != h[x[:-1]])
-                    gone = x[_later(x, first, doc[a + own], dh[a + own], place)]
+                    gone = x[_later(x, first, doc[a + own], dh[a + own], dg[a + own], place)]
                     gone = np.stack([a + own[gone], place[gone]])
                     x = x[first]
                     of, at, mini = np.append(of[cold], own[x]), np.append(at[cold], single[x]), np.append(mini[cold], h[x])
@@ -236,7 +237,7 @@ def _string_kernel(make: Callable, length: int, n: int) -> Callable:
                 blobs = []
                 for i, j in zip(cuts, cuts[1:], strict=False):
                     also = gone if i == 0 and len(gone) else np.zeros((2, 0), np.int64)
-                    blobs.append(pack(mini[i:j], doc[a + of[i:j]], dh[a + of[i:j]], start[i:j], lengths[i:j], np.frombuffer(b"".join(strings[i:j]), np.uint8), doc[also[0]], dh[also[0]], also[1]))
+                    blobs.append(pack(mini[i:j], doc[a + of[i:j]], dh[a + of[i:j]], dg[a + of[i:j]], start[i:j], lengths[i:j], np.frombuffer(b"".join(strings[i:j]), np.uint8), doc[also[0]], dh[also[0]], dg[also[0]], also[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32), pa.int32()), binaries(blobs)], names=["bucket", "blob"])
 
     return kernel
@@ -248,10 +249,10 @@ def _window_kernel(solve: Callable, n: int) -> Callable:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_key(batches, ["bucket"]):
             parts = [unpack(b) for b in group.column("blob").to_pylist()]
-            mini, d, h, start, sizes, text, d2, h2, start2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mini, d, h, g, start, sizes, text, d2, h2, g2, start2 = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts, group
             if len(d2):
-                yield _found(d2, h2, start2, np.ones(len(d2), np.int64), np.zeros(len(d2), U64), np.zeros(len(d2), np.int8), n)
+                yield _found(d2, h2, g2, start2, np.ones(len(d2), np.int64), np.zeros(len(d2), U64), np.zeros(len(d2), np.int8), n)
             begin = np.append(0, np.cumsum(sizes.astype(np.int64)))
             order = np.argsort(mini, kind="stable")
             size = np.cumsum(sizes[order].astype(np.int64))
@@ -264,18 +265,18 @@ def _window_kernel(solve: Callable, n: int) -> Callable:
                 string, window, kind = solve(text[expand(begin[mine], sizes[mine])], offs)
                 of = mine[string]
                 at = start[of].astype(np.int64) + window
-                by = _places(d[of], h[of], at, kind)
+                by = _places(d[of], h[of], g[of], at, kind)
                 first = np.ones(len(by), bool)
                 first[1:] = kind[by][1:] != kind[by][:-1]
-                by = by[_later(by, first, d[of], h[of], at)]
+                by = by[_later(by, first, d[of], h[of], g[of], at)]
                 if len(by):
                     # windows in a row of one document become one repeat
-                    by = by[_places(d[of[by]], h[of[by]], at[by])]
-                    dd, hh, pp = d[of[by]], h[of[by]], at[by]
-                    new = np.append(True, (dd[1:] != dd[:-1]) | (hh[1:] != hh[:-1]) | (pp[1:] != pp[:-1] + 1))
+                    by = by[_places(d[of[by]], h[of[by]], g[of[by]], at[by])]
+                    dd, hh, gg, pp = d[of[by]], h[of[by]], g[of[by]], at[by]
+                    new = np.append(True, (dd[1:] != dd[:-1]) | (hh[1:] != hh[:-1]) | (gg[1:] != gg[:-1]) | (pp[1:] != pp[:-1] + 1))
                     i = np.flatnonzero(new)
                     runs = np.diff(np.append(i, len(by)))
-                    yield _found(dd[i], hh[i], pp[i], runs, np.zeros(len(i), U64), np.zeros(len(i), np.int8), n)
+                    yield _found(dd[i], hh[i], gg[i], pp[i], runs, np.zeros(len(i), U64), np.zeros(len(i), np.int8), n)
                 a, done = b, int(size[b - 1])
 
     return kernel
@@ -288,7 +289,7 @@ def repeated_windows(docs: DataFrame, make: Callable, solve: Callable, length: i
     """
     docs = keyed(docs)
     n = buckets(docs)
-    runs = docs.select("doc", "dh", "text").mapInArrow(_run_kernel(make, length, k, n), "bucket int, blob binary")
+    runs = docs.select(*IDS, "text").mapInArrow(_run_kernel(make, length, k, n), "bucket int, blob binary")
     packed = "bucket int, blob binary"
 
     def by_document(found: DataFrame) -> DataFrame:
@@ -296,11 +297,11 @@ def repeated_windows(docs: DataFrame, make: Callable, solve: Callable, length: i
 
     found = settled(by_document(exchanged(runs, n).mapInArrow(_match_kernel(n, hot), packed)))
     # All columns of `docs` stay, as in the last join: its exchange is then the same one, and is made once.
-    strings = docs.join(found.where(F.octet_length("suspects") > 0).select("doc", "dh", "suspects"), ["doc", "dh"]).mapInArrow(_string_kernel(make, length, n), packed)
+    strings = docs.join(found.where(F.octet_length("suspects") > 0).select(*IDS, "suspects"), IDS).mapInArrow(_string_kernel(make, length, n), packed)
     inner = by_document(exchanged(strings, n).mapInArrow(_window_kernel(solve, n), packed))
-    every = found.where(F.octet_length("repeats") > 0).select("doc", "dh", "repeats").unionByName(inner.select("doc", "dh", "repeats"))
-    repeats = every.groupBy("doc", "dh").agg(F.collect_list("repeats").alias("repeats"))
-    return docs.join(repeats, ["doc", "dh"], "left").drop("doc", "dh")
+    every = found.where(F.octet_length("repeats") > 0).select(*IDS, "repeats").unionByName(inner.select(*IDS, "repeats"))
+    repeats = every.groupBy(*IDS).agg(F.collect_list("repeats").alias("repeats"))
+    return docs.join(repeats, IDS, "left").drop(*IDS)
 
 
 def covered(lists: list, first: np.ndarray, length: int) -> np.ndarray:

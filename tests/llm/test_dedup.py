@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folioloom.llm import jaccard_join, substring_dedup, suffix_dedup
 from folioloom.llm.suffixes import equal_to_previous, sorted_buckets
@@ -64,6 +65,15 @@ def test_repeated_rows_are_one_document(spark, corpus):
     assert substring_dedup.substring_dedup(df.limit(0)).count() == suffix_dedup.suffix_array_dedup(df.limit(0)).count() == 0
 
 
+def test_texts_with_one_32_bit_hash_are_different_documents(spark):
+    base = " ".join(f"word{i}" for i in range(30)) + " "
+    for key in (5, None):
+        df = spark.createDataFrame([(key, base + "434"), (key, base + "274544")], "doc_id long, text string")
+        assert df.select(F.hash("text")).distinct().count() == 1
+        assert sorted(r.n_removed for r in substring_dedup.substring_dedup(df).collect()) == [0, 30]
+        assert sorted(r.n_removed for r in suffix_dedup.suffix_array_dedup(df).collect()) == [0, len(base)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab\0", min_size=1, max_size=300), st.integers(1, 5))
 def test_suffixes_are_sorted(text, repeat):
