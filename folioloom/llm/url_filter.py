@@ -2,6 +2,11 @@
 
 Two variable-order Markov models of characters, one of the URLs that rules allow
 and one of those that rules block, are smoothed from order to order (Witten-Bell).
+Short contexts are counted in one table that every task holds. Longer ones grow
+with the data: every context that ruled URLs bring LEAST times, up to the whole
+URL. URLs lie in groups; in each round a group sends its contexts of some more
+orders, each once, to buckets by hash, which count them and send back the counts
+of those seen often enough. Only positions whose longest context came back go on.
 A URL's score is the difference of its log-likelihoods for each character; the
 limit below which it is blocked is calibrated on URLs that the models scored have
 not seen.
@@ -17,27 +22,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .cluster import by_key, exchanged, table
-from .textarrays import binaries, pack, text_buffer, unpack
+from .cluster import by_key, exchanged, settled, table
+from .textarrays import U64, Rolling, binaries, mix, pack, text_buffer, unpack
 
 #: Fixed by the contract of the query: verdict, host and path of each rule.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 SCHEMA = "page_id bigint, host string, path string, rule string, verdict string, score double"
 
-#: Symbols: 0 begins, 1 ends; letters; one for all digits; marks of their own; one for every other byte.
-_MARKS = "./-_?=&#%:+~,@!"
-SYMBOLS = 2 + 26 + 1 + len(_MARKS) + 1
-SYMBOL = np.full(256, SYMBOLS - 1, np.int64)
-for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-    SYMBOL[ord(_c)] = SYMBOL[ord(_c.upper())] = 2 + _i
-SYMBOL[0x30:0x3A] = 28
-for _i, _c in enumerate(_MARKS):
-    SYMBOL[ord(_c)] = 29 + _i
-#: Characters of the longest context; a model has SYMBOLS ** (ORDER + 1) counts at most, whatever the input.
-ORDER = 3
+#: Symbols: 0 begins, 1 ends; then one for every byte.
+SYMBOLS = 2 + 256
+SYMBOL = np.arange(2, SYMBOLS)
+#: Characters of the longest context that every task holds counts of, SYMBOLS ** (ORDER + 1) at most; longer contexts grow.
+ORDER = 1
+#: Times that ruled URLs bring a longer context at least.
+LEAST = 4
+#: Orders that the first round grows to; each round after it doubles them.
+FIRST_ROUND = 7
+#: Bytes of URLs in a group, and those that one bucket of contexts is meant to come from.
+GROUP_TEXT = 1 << 20
 BINS, SPAN = 4001, 8.0
 #: Parts of a model's counts in an exchange.
 PARTS = 16
+ANSWER = "group int, deep boolean, blob binary"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -135,30 +141,154 @@ class Markov:
         return np.log(p)
 
 
-def ratio(urls: pa.Array, accepted: Markov, rejected: Markov) -> np.ndarray:
-    """Difference of log-likelihoods (accepted less rejected) for each character of each URL, its end included."""
-    gram, of, n = contexts(urls)
-    distinct, at = np.unique(gram, return_inverse=True)
-    d = accepted.log_p(distinct) - rejected.log_p(distinct)
-    return np.bincount(of, d[at], len(n)) / np.maximum(n, 1)
+class Group:
+    """The distinct URLs of a group as symbols, with a place for each symbol to foretell."""
+
+    def __init__(self, rows: pa.Table):
+        found = rows.column("url").combine_chunks().fill_null("").dictionary_encode()
+        found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+        self.urls, self.row = found.dictionary, found.indices.to_numpy(zero_copy_only=False)
+        kind = rows.column("kind").to_numpy()
+        told = kind >= 0
+        #: Rows of each URL by (fold, class).
+        self.weight = np.bincount(self.row[told] * 4 + kind[told], minlength=4 * len(self.urls)).reshape(-1, 4)
+        data, offs = text_buffer(self.urls)
+        n = np.diff(offs)
+        size = n + 2
+        begin = np.cumsum(size) - size
+        self.flat = np.zeros(int(size.sum()), np.int64)
+        self.flat[np.arange(len(data)) + np.repeat(begin - offs[:-1] + 1, n)] = SYMBOL[data]
+        self.flat[begin + size - 1] = 1
+        self.of = np.repeat(np.arange(len(n)), n + 1)
+        self.at = np.arange(len(self.of)) + self.of + 1
+        #: Symbols before each place, the beginning included: the longest context.
+        self.before = self.at - begin[self.of]
+        self.sizes = n + 1
+        self.rolling = Rolling(mix(np.arange(1, SYMBOLS + 1, dtype=U64))[self.flat] | U64(1))
+
+    def context(self, x: np.ndarray, order: int) -> np.ndarray:
+        return mix(self.rolling.of(self.at[x] - order, self.at[x]) + U64(order))
+
+    def symbol(self, x: np.ndarray) -> np.ndarray:
+        return self.flat[self.at[x]]
+
+
+def gram_key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(context + (symbol.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `wanted` are among the sorted keys, and where."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
+def _grow_kernel(low: int, high: int, n: int):
+    """The contexts of orders low to high of a group, by bucket: each with its next symbol once, and how many ruled rows bring it."""
+
+    def kernel(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        g = Group(rows)
+        x = np.arange(len(g.at))
+        if low > ORDER + 1:
+            last = [a[0] for a in (unpack(b) for b in answers.column("blob").to_pylist())]
+            keys = np.sort(np.concatenate(last)) if last else np.zeros(0, U64)
+            x = x[g.before >= low - 1]
+            x = x[_places(keys, gram_key(g.context(x, low - 1), g.symbol(x)))[0]]
+        parts = []
+        for order in range(low, high + 1):
+            x = x[g.before[x] >= order]
+            if not len(x):
+                break
+            context, symbol = g.context(x, order), g.symbol(x)
+            by = np.lexsort((symbol, context))
+            context, symbol = context[by], symbol[by]
+            new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])))
+            count = np.add.reduceat(g.weight[g.of[x[by]]], new, axis=0)
+            parts.append((context[new], symbol[new], np.full(len(new), order), count))
+        buckets, blobs = [], []
+        if parts:
+            context, symbol, order, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+            bucket = (context >> U64(40)) % U64(n)
+            by = np.argsort(bucket, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(bucket[by])) + 1).tolist(), len(by)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                b = by[i:j]
+                buckets.append(int(bucket[b[0]]))
+                blobs.append(pack(context[b], symbol[b].astype(np.uint16), order[b].astype(np.uint32), count[b].ravel()))
+        group = rows.column("group")[0].as_py() if len(rows) else 0
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "group": pa.array([group] * len(blobs), pa.int32()), "blob": binaries(blobs)})
+
+    return kernel
 
 
-def _histogram_kernel(models):
-    """How many ruled URLs of each class have a score in each bin, under models of the other fold."""
+def _answer_kernel(high: int):
+    """For each group the counts of its contexts that are seen LEAST times: symbol, context and kinds of symbol, by fold and class."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [Markov(*x) for x in models.value]
-        bins = np.zeros((2, BINS), np.int64)
-        for batch in batches:
-            kind = batch.column("kind").to_numpy(zero_copy_only=False)
-            for fold in (0, 1):
-                mine = np.flatnonzero(kind // 2 == fold)
-                s = ratio(batch.column("url").take(pa.array(mine)), built[2 * (1 - fold)], built[2 * (1 - fold) + 1])
-                at = np.clip(((s + SPAN) * (BINS - 1) / (2 * SPAN)).round(), 0, BINS - 1).astype(np.int64)
-                for k in (0, 1):
-                    bins[k] += np.bincount(at[kind[mine] % 2 == k], minlength=BINS)
-        k, b = np.nonzero(bins)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(bins[k, b], pa.int64())], names=["k", "b", "n"])
+        for _, rows in by_key(batches, ["bucket"]):
+            groups = rows.column("group").to_pylist()
+            parts = [unpack(b) for b in rows.column("blob").to_pylist()]
+            asked = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+            context, symbol, order, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+            count = count.reshape(-1, 4)
+            distinct, at = np.unique(context, return_inverse=True)
+            total = _sums(at, count, len(distinct))
+            keep = total.sum(1)[at] >= LEAST
+            context, symbol, order, count, at, asked = (x[keep] for x in (context, symbol.astype(np.int64), order, count, at, asked))
+            gram, of = np.unique(at * SYMBOLS + symbol, return_inverse=True)
+            seen = _sums(of, count, len(gram))
+            kinds = _sums(gram // SYMBOLS, (_folds(seen) > 0).astype(np.int64), len(distinct))
+            cuts = np.searchsorted(asked, np.arange(len(parts) + 1))
+            out = []
+            for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if j > i:
+                    blob = pack(gram_key(context[i:j], symbol[i:j]), seen[of[i:j]].ravel(), total[at[i:j]].ravel(), kinds[at[i:j]].ravel())
+                    out.append((groups[k], bool((order[i:j] == high).any()), blob))
+            columns = [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), binaries([x[2] for x in out])]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "deep", "blob"])
+
+    return kernel
+
+
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, values[:, k], n).astype(np.int64) for k in range(values.shape[1])], axis=1)
+
+
+def _folds(counts: np.ndarray) -> np.ndarray:
+    """Counts of the four models of a fold and class, and of the two of both folds."""
+    return np.concatenate([counts, counts[:, :2] + counts[:, 2:]], axis=1)
+
+
+def _score_kernel(base):
+    """Each row of a group with its score under the models of both folds, and, where a rule told its class, the bin of its score under the other fold's."""
+
+    def kernel(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        g = Group(rows)
+        gram, _, _ = contexts(g.urls)
+        distinct, at = np.unique(gram, return_inverse=True)
+        p = np.stack([np.exp(Markov(*x).log_p(distinct)) for x in base.value], axis=1)[at]
+        parts = [unpack(b) for b in answers.column("blob").to_pylist()]
+        if parts:
+            keys, seen, total, kinds = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.argsort(keys)
+            keys, seen, total, kinds = keys[by], seen.reshape(-1, 4)[by], total.reshape(-1, 4)[by], kinds.reshape(-1, 6)[by]
+            x, order = np.arange(len(g.at)), ORDER + 1
+            while len(x):
+                x = x[g.before[x] >= order]
+                found, where = _places(keys, gram_key(g.context(x, order), g.symbol(x)))
+                x, where = x[found], where[found]
+                c, n, t = _folds(seen[where]), _folds(total[where]), kinds[where]
+                p[x] = np.where(n > 0, (c + t * p[x]) / np.maximum(n + t, 1), p[x])
+                order += 1
+        logs = np.log(p)
+        score = [np.bincount(g.of, logs[:, a] - logs[:, a + 1], len(g.sizes)) / g.sizes for a in (0, 2, 4)]
+        kind = rows.column("kind").to_numpy()
+        other = np.where(kind // 2 == 0, score[1][g.row], score[0][g.row])
+        bins = np.clip(((other + SPAN) * (BINS - 1) / (2 * SPAN)).round(), 0, BINS - 1).astype(np.int32)
+        out = {c: rows.column(c) for c in ("page_id", "host", "path", "rule", "told")}
+        return pa.table(out | {"score": pa.array(score[2][g.row]), "kind": rows.column("kind"), "b": pa.array(bins, pa.int32())})
 
     return kernel
 
@@ -173,17 +303,8 @@ def limit(bins: np.ndarray) -> float:
     return float((best[0] + best[-1]) / 2 - 0.5) * (2 * SPAN) / (BINS - 1) - SPAN
 
 
-def _verdict_kernel(models):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        accepted, rejected, low = models.value
-        a, r = Markov(*accepted), Markov(*rejected)
-        for batch in batches:
-            s = ratio(batch.column("url"), a, r)
-            told = batch.column("told").to_pylist()
-            verdict = [t or ("block" if x < low else "allow") for t, x in zip(told, s.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "host", "path", "rule")] + [pa.array(verdict, pa.string()), pa.array(s)], names=["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return kernel
+def _together(rows: DataFrame, answers: DataFrame, kernel, schema: str) -> DataFrame:
+    return rows.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(kernel, schema)
 
 
 def url_filter(pages: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
@@ -200,21 +321,35 @@ def url_filter(pages: DataFrame, url: str = "url", key: str = "page_id") -> Data
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("found", ruled(F.col("host"), F.col("path"))).select("page_id", "url", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("told"))
-    fold = F.pmod(F.hash("page_id", "url"), F.lit(2))
-    known = rows.where("told is not null").select("url", (fold * 2 + F.when(F.col("told") == "block", 1).otherwise(0)).cast("int").alias("kind"))
+    # Equal URLs are in one fold, as contexts may be whole URLs.
+    fold = F.pmod(F.xxhash64("url"), F.lit(2))
+    kind = F.when(F.col("told").isNull(), -1).otherwise(fold * 2 + F.when(F.col("told") == "block", 1).otherwise(0)).cast("int")
+    size = rows.agg(F.sum(F.octet_length("url"))).head()[0] or 0
+    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // GROUP_TEXT) + 1)
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    rows = settled(rows.select("*", kind.alias("kind"), group.alias("group")))
+    known = rows.where("kind >= 0").select("url", "kind")
     summed = exchanged(known.mapInArrow(_count_kernel, "bucket int, blob binary"), PARTS).mapInArrow(_sum_kernel, "bucket int, blob binary").collect()
     by_kind: list[list] = [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] for _ in range(4)]
     for bucket, blob in sorted(summed, key=lambda r: r[0]):
         by_kind[bucket // PARTS].append(tuple(unpack(blob)))
     counts = [tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for parts in by_kind]
-    context = pages.sparkSession.sparkContext
+    counts += [tuple(np.concatenate([counts[k][i], counts[k + 2][i]]) for i in (0, 1)) for k in (0, 1)]
+    answers = every = pages.sparkSession.createDataFrame([], ANSWER)
+    low, high, deep = ORDER + 1, FIRST_ROUND, True
+    while deep:
+        asked = _together(rows.select("url", "kind", "group"), answers, _grow_kernel(low, high, n), "bucket int, group int, blob binary")
+        answers = settled(exchanged(asked, n).mapInArrow(_answer_kernel(high), ANSWER))
+        every = every.unionByName(answers)
+        deep = not answers.where("deep").isEmpty()
+        low, high = high + 1, 2 * high + 1
+    base = pages.sparkSession.sparkContext.broadcast(counts)
+    scored = settled(_together(rows, every, _score_kernel(base), "page_id bigint, host string, path string, rule string, told string, score double, kind int, b int"))
     bins = np.zeros((2, BINS), np.int64)
-    got = known.mapInArrow(_histogram_kernel(context.broadcast(counts)), "k int, b int, n bigint").groupBy("k", "b").agg(F.sum("n")).collect()
-    for k, b, n in got:
-        bins[k, b] = n
-    both = [tuple(np.concatenate([counts[k][i], counts[k + 2][i]]) for i in (0, 1)) for k in (0, 1)]
-    model = context.broadcast((both[0], both[1], limit(bins)))
-    return rows.select("page_id", "url", "host", "path", "rule", "told").mapInArrow(_verdict_kernel(model), SCHEMA)
+    for k, b, m in scored.where("kind >= 0").groupBy(F.col("kind") % 2, "b").count().collect():
+        bins[k, b] = m
+    judged = F.when(F.col("score") < limit(bins), "block").otherwise("allow")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("told", judged).alias("verdict"), "score")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

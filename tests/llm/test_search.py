@@ -40,6 +40,21 @@ def test_url_models_learn_the_classes(spark):
     assert url_filter.url_filter(only.limit(0)).count() == 0
 
 
+def test_url_models_tell_digits_and_far_contexts(spark):
+    """A class that only a digit tells, and one that only a character 20 places before tells."""
+    rows = [f"http://a{i % 9}.example.org/en/{d}{i}" for i in range(200) for d in (1, 2)]
+    digits = [f"http://other.net/en/{d}{i}" for i in range(200, 240) for d in (1, 2)]
+    mid = "0123abcdefghijklmnop"
+    rows += [f"http://h{i % 7}.com/{c}/{a}{mid}{b}?{i}" for i in range(200) for c, pairs in (("fr", ("Ax", "By")), ("de", ("Ay", "Bx"))) for a, b in pairs]
+    far = [f"http://h.net/{a}{mid}{b}?{i}" for i in range(200, 220) for a, b in ("Ax", "By", "Ay", "Bx")]
+    urls = [*rows, *digits, *far]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_filter(df).collect()}
+    score = {u: got[i].score for i, u in enumerate(urls)}
+    assert min(score[u] for u in digits if "/en/2" in u) > max(score[u] for u in digits if "/en/1" in u)
+    assert min(score[u] for u in far if mid + "x" in u and "/A" in u or mid + "y" in u and "/B" in u) > max(score[u] for u in far if mid + "y" in u and "/A" in u or mid + "x" in u and "/B" in u)
+
+
 def test_markov_is_a_distribution():
     g = np.random.default_rng(1).integers(0, url_filter.SYMBOLS ** (url_filter.ORDER + 1), 500)
     model = url_filter.Markov(*np.unique(g, return_counts=True))
