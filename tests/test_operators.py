@@ -162,3 +162,10 @@ def test_hierarchy(spark):
     assert {r.id for r in hierarchy.closure(s, spark.createDataFrame([("c",)], "id string")).collect()} == {"a", "b", "c"}
     loop = spark.createDataFrame([("a", "A", "b"), ("b", "B", "a")], "id string, title string, part_of_id string")
     assert hierarchy.ancestors(loop, 5).count() == 12
+
+
+def test_hierarchy_has_no_depth_cap(spark):
+    deep = spark.createDataFrame([(i, f"t{i}", i - 1 if i else None) for i in range(24)], "id long, title string, part_of_id long").coalesce(1)
+    assert hierarchy.ancestors(deep).where("id = 23").count() == 24
+    loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "id string, part_of_id string")
+    assert sorted(map(tuple, hierarchy.ancestors(loop).collect())) == [("a", "a", 0), ("a", "b", 1), ("b", "a", 1), ("b", "b", 0), ("c", "a", 1), ("c", "b", 2), ("c", "c", 0)]
