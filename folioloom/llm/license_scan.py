@@ -119,26 +119,48 @@ def label_of(identifier: str) -> str | None:
     return next((label for begin, label in sorted(IDENTIFIERS.items(), key=lambda x: -len(x[0])) if re.fullmatch(re.escape(begin) + r"(?:[-+.0-9].*)?", name)), None)
 
 
-def parse(text: str, at: int = 0) -> tuple[str, list[frozenset[str]]] | None:
-    """The longest expression at a place of a (lower-case) text whose identifiers are all known; it may go on over line breaks."""
+def expression(text: str, at: int = 0) -> list[str]:
+    """Tokens of the longest expression at a place of a (lower-case) text whose identifiers are all known; it may go on over line breaks."""
     tokens: list[str] = []
-    best = None
-    end = at
+    best, depth, operand, end = 0, 0, True, at
     while m := _TOKEN.match(text, _GAP.match(text, end).end()):
         t = m[0].rstrip(".") or m[0]
-        if t not in _RANK and t not in "()" and label_of(t) is None and (not tokens or tokens[-1] != "with"):
-            break
+        exception = bool(tokens) and tokens[-1] == "with"
+        if t in _RANK:
+            if operand:
+                break
+            operand = True
+        elif t == "(":
+            if not operand or exception:
+                break
+            depth += 1
+        elif t == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        else:
+            if not operand or (not exception and label_of(t) is None):
+                break
+            operand = False
         tokens.append(t)
-        end = m.start() + len(t)
-        if len(tokens) > 200:
-            break
-        try:
-            best = (" ".join(tokens), evaluate(to_postfix(tokens)))
-        except ExpressionError:
-            continue
+        if not operand and not depth:
+            best = len(tokens)
         if t != m[0]:
             break
-    return best
+        end = m.start() + len(t)
+    return tokens[:best]
+
+
+def parse(text: str) -> tuple[str, list[frozenset[str]]] | None:
+    """The expression at the beginning of a (lower-case) text, and its alternatives."""
+    tokens = expression(text)
+    return (" ".join(tokens), evaluate(to_postfix(tokens))) if tokens else None
+
+
+def labels_of(postfix: list[str]) -> set[str]:
+    """Labels of the operands; an exception, which comes just before its with, has none."""
+    after = [*postfix[1:], ""]
+    return {label_of(t) for t, then in zip(postfix, after, strict=True) if t not in _RANK and then != "with"} - {None}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -187,10 +209,10 @@ def scan(lower: bytes, ends: np.ndarray, body: str, automaton: ahocorasick.Autom
         text, at, byte = lower.decode(), 0, 0
         for tag in tags:
             at, byte = at + len(lower[byte:tag].decode()), tag
-            got = parse(text, _OPEN.match(text, at).end())
-            if got:
-                expressions.append(got[0])
-                new = {label_of(i) for group in got[1] for i in group} - {None}
+            tokens = expression(text, _OPEN.match(text, at).end())
+            if tokens:
+                expressions.append(" ".join(tokens))
+                new = labels_of(to_postfix(tokens))
                 for label in sorted(new):
                     if ("tag", label) not in seen:
                         seen.add(("tag", label))

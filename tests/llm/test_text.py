@@ -133,6 +133,13 @@ def test_license_scan_reads_after_every_tag(spark):
     assert {r.doc_id: r.expressions for r in license_scan.license_scan(df).collect()} == {r[0]: r[2] for r in rows}
 
 
+def test_license_expressions_of_any_length():
+    text = " and ".join(["(mit or isc)", "gpl-2.0 with classpath-exception-2.0"] * 200 + ["apache-2.0"])
+    tokens = license_scan.expression(text)
+    assert " ".join(tokens).replace("( ", "(").replace(" )", ")") == text
+    assert license_scan.labels_of(license_scan.to_postfix(tokens)) == {"mit", "isc", "gpl", "apache"}
+
+
 def test_grammar():
     machine = toxicity.grammar()
     assert [o for o, _ in machine.run(["target", "insult"])] == ["other", "aimed"]
