@@ -55,20 +55,26 @@ def restored(rows: DataFrame, docs: DataFrame, text: str = "text", key: str = "d
     return rows.select(*columns)
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return int(docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0)
+
+
 def buckets(docs: DataFrame) -> int:
     """Buckets of a packed exchange: one for each BUCKET_TEXT of text, the session's shuffle partitions at least."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_TEXT) + 1)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // BUCKET_TEXT + 1)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset and all run on this machine."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folioloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="folioloom-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir()
 
@@ -80,6 +86,28 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot with more than one in so many of all rows, so there are fewer hot keys than this.
+HOT_KEYS = 1000
+
+
+def looked_up(rows: DataFrame, told: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined with `told`, which has one row for each key, on keys that are never null.
+
+    What is told of hot keys is broadcast, fewer than HOT_KEYS rows, so that their
+    rows stay where they are; the others are joined by an exchange. Both tables
+    are read more than once, so they are best settled.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(how)
+    total = rows.count()
+    hot = rows.groupBy(*keys).count().where(F.col("count") * HOT_KEYS > total).where(F.col("count") > 1).select(*keys).collect()
+    if not hot:
+        return rows.join(told, keys, how)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    warm = rows.join(few, keys, "left_semi").join(F.broadcast(told.join(few, keys, "left_semi")), keys, how)
+    return warm.unionByName(rows.join(few, keys, "left_anti").join(told, keys, how))
+
+
 def exchanged(df: DataFrame, n: int, key: str = "bucket") -> DataFrame:
     """Rows of a bucket together in one partition, bucket after bucket."""
     return df.repartition(n, key).sortWithinPartitions(key)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import _repeats
 from .cluster import record, schema_of, table, with_text
-from .textarrays import NOT_SPACE, Rolling, U64, Words, byte_rolling, combine, expand, mix, pieces, text_buffer
+from .textarrays import NOT_SPACE, Rolling, Words, combine, equal_spans, expand, pieces, release, span_hashes, text_buffer
 
 LENGTH = 20
 GRAM = 4
@@ -20,48 +20,75 @@ SCHEMA = "doc_id bigint, text string, n_words bigint, n_removed bigint, kept_sha
 
 
 class WordTokens(_repeats.Tokens):
+    """Words; the body holds them in order, each followed by one space."""
+
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        self.words = Words(data, offs, NOT_SPACE)
-        self.data, self.first = data, self.words.first
-        self.values = byte_rolling(data, 3).of(self.words.start, self.words.end)
+        words = Words(data, offs, NOT_SPACE)
+        self.first = words.first
+        self.values = span_hashes(data, words.start, words.end, 3)
+        size = words.end - words.start + 1
+        self.begin = np.append(0, np.cumsum(size))
+        self.body = np.append(data, np.uint8(0x20))[expand(words.start, size)]
+        self.body[self.begin[1:] - 1] = 0x20
 
     def grams(self) -> np.ndarray:
         return combine(self.values, GRAM, 5)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return Rolling(mix(self.values + U64(4))).of(start, end)
+        return Rolling(self.values).of(start, end)
 
-    def strings(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-        """The words of each range joined by one space."""
-        whole, s, e = self.data.tobytes(), self.words.start.tolist(), self.words.end.tolist()
-        return [b" ".join([whole[s[i] : e[i]] for i in range(a, b)]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    def spans(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.begin[start], self.begin[end] - 1
 
 
 def equal_windows(length: int):
-    """The `solve` of `_repeats` for words: windows are sorted by 128 bits of two independent hashes."""
+    """The `solve` of `_repeats` for words: windows are sorted by a hash, and neighbours compared byte by byte."""
 
     def solve(text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = Words(text, offs, NOT_SPACE)
-        one, two = (combine(byte_rolling(text, seed).of(words.start, words.end), length, seed) for seed in (6, 7))
+        h = combine(span_hashes(text, words.start, words.end, 6), length, 6)
         at = expand(words.first[:-1], np.maximum(words.counts - length + 1, 0))
-        one, two = one[at], two[at]
-        order = np.lexsort((two, one))
-        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-        kind = np.append(0, np.cumsum(~same)) if len(order) else np.zeros(0, np.int64)
-        many = np.zeros(len(order), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        at = at[order[many]]
+        order = np.argsort(h[at], kind="stable")
+        at, h = at[order], h[at[order]]
+        same = h[1:] == h[:-1]
+        many = np.append(False, same) | np.append(same, False)
+        at = at[many]
+        fresh = np.append(True, ~same)[many]
+        begin, size = words.start[at], words.end[at + length - 1] - words.start[at]
+        # Words of a string are one space apart, so equal windows have equal bytes.
+        i = np.flatnonzero(~fresh)
+        equal = size[i] == size[i - 1]
+        equal[equal] = equal_spans(text, begin[i[equal]], begin[i[equal] - 1], size[i[equal]])
+        kind = np.cumsum(fresh)
+        if not equal.all():
+            kind = _told_apart(text, kind, np.unique(kind[i[~equal]]), begin, size)
+            order = np.argsort(kind, kind="stable")
+            at, kind = at[order], kind[order]
         string = words.doc[at]
-        return string, at - words.first[string], kind[many]
+        return string, at - words.first[string], kind
 
     return solve
 
 
+def _told_apart(text: np.ndarray, kind: np.ndarray, mixed: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Classes of their own for the different windows of classes that one hash put together."""
+    kind = kind.copy()
+    fresh = int(kind.max()) + 1
+    for k in mixed.tolist():
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(kind == k).tolist():
+            window = text[begin[i] : begin[i] + size[i]].tobytes()
+            if window not in seen:
+                seen[window], fresh = fresh, fresh + 1
+            kind[i] = seen[window]
+    return kind
+
+
 def _result_kernel(length: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = text_buffer(batch.column("text"))
+            text = _repeats.unzipped(batch.column("packed"))
+            data, offs = text_buffer(text)
             lists = batch.column("repeats").to_pylist()
             counts, removed, kept = [], [], []
             for a, b in pieces(offs):
@@ -81,7 +108,8 @@ def _result_kernel(length: int):
                 kept += [whole[i : max(i, j - 1)] for i, j in zip(at, at[1:], strict=False)]
             counts_, removed_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, removed))
             shas = [hashlib.sha256(x).hexdigest() for x in kept]
-            yield record(batch, NAMES, [batch.column("doc_id"), batch.column("text"), pa.array(counts_, pa.int64()), pa.array(removed_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())])
+            yield record(batch, NAMES, [batch.column("doc_id"), text, pa.array(counts_, pa.int64()), pa.array(removed_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())])
+        release()
 
     return kernel
 

@@ -12,26 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from . import _repeats
 from .cluster import table, with_text
 from .suffixes import equal_to_previous, sorted_buckets
-from .textarrays import byte_rolling, expand, pieces, text_buffer
+from .textarrays import U64, Rolling, expand, lanes, mix, pieces, release, text_buffer
 
 LENGTH = 100
-GRAM = 20
+GRAM = 16
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 class Bytes(_repeats.Tokens):
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        self.data, self.first = data, offs
+        self.body, self.first = data, offs
 
     def grams(self) -> np.ndarray:
-        return byte_rolling(self.data, 1).every(GRAM)
+        at = lanes(self.body)[: max(0, len(self.body) - GRAM + 1)]
+        return mix(at * U64(0x9E3779B97F4A7C15) + lanes(self.body)[8 : 8 + len(at)] * U64(0xC2B2AE3D27D4EB4F))
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return byte_rolling(self.data, 2).of(start, end)
+        return Rolling(mix(np.arange(256, dtype=U64))[self.body]).of(start, end)
 
-    def strings(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-        whole = self.data.tobytes()
-        return [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    def spans(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return start, end
 
 
 def equal_windows(length: int):
@@ -61,7 +61,8 @@ def equal_windows(length: int):
 def _result_kernel(length: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = text_buffer(batch.column("text"))
+            text = _repeats.unzipped(batch.column("packed"))
+            data, offs = text_buffer(text)
             lists = batch.column("repeats").to_pylist()
             removed, spans, shas = [], [], []
             for a, b in pieces(offs):
@@ -79,6 +80,7 @@ def _result_kernel(length: int):
                 shas += [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(at, at[1:], strict=False)]
             removed_, spans_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (removed, spans))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offs), pa.int64()), pa.array(removed_, pa.int64()), pa.array(spans_, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        release()
 
     return kernel
 

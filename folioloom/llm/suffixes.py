@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .textarrays import U64
+from .textarrays import U64, equal_spans, lanes
 
 PERIOD = 13
 COVER = (0, 1, 3, 9)
@@ -28,21 +28,7 @@ OFFSET = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER a
 
 def _word(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """The n bytes from each position as one big-endian number; `text` reaches beyond all of them."""
-    out = np.zeros(len(at), U64)
-    for i in range(n):
-        out = out << U64(8) | text[at + i].astype(U64)
-    return out
-
-
-def _names(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1 of elements that `order` sorts by `keys`."""
-    new = np.zeros(len(order), np.int64)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) + 1
-    return out
+    return lanes(text)[at].byteswap() >> U64(8 * (8 - n))
 
 
 def cover_ranks(text: np.ndarray, n: int) -> np.ndarray:
@@ -51,17 +37,41 @@ def cover_ranks(text: np.ndarray, n: int) -> np.ndarray:
     Beyond the end, suffixes are empty: they rank below all others, later ones first.
     """
     at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(n) % PERIOD])
-    high, low = _word(text, at, 8), _word(text, at + 8, 5)
     ranks = np.zeros(n + 2 * PERIOD, np.int64)
     ranks[n:] = -np.arange(2 * PERIOD)
-    ranks[at] = names = _names(np.lexsort((low, high)), high, low)
-    step = PERIOD
-    while len(at) and names.max() < len(at):
-        follow = np.where(at + step < n, ranks[np.minimum(at + step, n)], n - at - step)
-        key = (names << 32) + follow
-        ranks[at] = names = _names(np.argsort(key, kind="stable"), key)
-        step *= 2
-    return ranks
+    # Ranks are the number of suffixes known to be smaller, so a suffix without ties has its own for good.
+    high = _word(text, at, 8)
+    order = np.argsort(high, kind="stable")
+    at, high = at[order], high[order]
+    name = firsts(high[1:] != high[:-1])
+    ranks[at] = name + 1
+    step = 8
+    while True:
+        tied = np.append(name[1:] == name[:-1], False) | np.append(False, name[1:] == name[:-1])
+        if not tied.any():
+            return ranks
+        at, name = at[tied], name[tied]
+        if step == 8:
+            key, step = _word(text, at + 8, PERIOD - 8).view(np.int64), PERIOD
+        else:
+            key, step = np.where(at + step < n, ranks[np.minimum(at + step, n)], n - at - step), 2 * step
+        at, name = refined(at, name, key)
+        ranks[at] = name + 1
+
+
+def firsts(new: np.ndarray) -> np.ndarray:
+    """For each of a sorted list, the place of the first that equals it."""
+    i = np.arange(len(new) + 1)
+    return np.maximum.accumulate(np.where(np.append(True, new), i, 0)) if len(i) else i
+
+
+def refined(at: np.ndarray, name: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Elements in the order of (name, key), and their new names: the old one and how many of that name have smaller keys."""
+    order = np.argsort((name << 32) + key) if key.max(initial=0) < 1 << 31 else np.lexsort((key, name))
+    at, name, key = at[order], name[order], key[order]
+    new_name = name[1:] != name[:-1]
+    group = firsts(new_name)
+    return at, name + firsts(new_name | (key[1:] != key[:-1])) - group
 
 
 def sorted_buckets(text: np.ndarray, n: int, wanted: np.ndarray) -> Iterator[np.ndarray]:
@@ -79,19 +89,48 @@ def sorted_buckets(text: np.ndarray, n: int, wanted: np.ndarray) -> Iterator[np.
         a = b
 
 
+#: Suffixes that tie on the first PERIOD bytes are compared in pairs up to so many, and by residue beyond.
+FEW = 8
+
+
 def _sorted_bucket(text: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    high, low = _word(text, at, 8), _word(text, at + 8, PERIOD - 8)
-    order = np.lexsort((low, high))
-    at, high, low = at[order], high[order], low[order]
-    same = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
-    tied = np.zeros(len(at), bool)
-    tied[1:] |= same
-    tied[:-1] |= same
+    high = _word(text, at, 8)
+    order = np.argsort(high)
+    at, high = at[order], high[order]
+    same = high[1:] == high[:-1]
+    tied = np.append(False, same) | np.append(same, False)
     where = np.flatnonzero(tied)
     if not len(where):
         return at
-    t = at[where]
-    group = np.cumsum(np.append(True, ~same))[where]
+    # Ties on eight bytes by the next five, then by the ranks.
+    group = np.cumsum(np.append(True, ~same)[where]).astype(U64)
+    low = _word(text, at[where] + 8, PERIOD - 8)
+    order = np.argsort(group << U64(40) | low) if group[-1] < 1 << 24 else np.lexsort((low, group))
+    t, group, low = at[where][order], group[order], low[order]
+    same = (group[1:] == group[:-1]) & (low[1:] == low[:-1])
+    first = np.flatnonzero(np.append(True, ~same))
+    count = np.diff(np.append(first, len(t)))
+    place = np.repeat(first, count)
+    few = np.repeat(count <= FEW, count)
+    end = np.repeat(first + count, count)
+    for step in range(1, min(FEW, int(count.max()))):
+        i = np.flatnonzero(few[: len(t) - step] & (end[: len(t) - step] > np.arange(step, len(t))))
+        x, y = t[i], t[i + step]
+        d = OFFSET[x % PERIOD, y % PERIOD]
+        less = ranks[x + d] < ranks[y + d]
+        place[i + step] += less
+        place[i] += ~less
+    many = np.flatnonzero(~few)
+    if len(many):
+        place[many] += _within(ranks, t[many], np.cumsum(np.append(True, ~same))[many])
+    done = np.empty_like(t)
+    done[place] = t
+    at[where] = done
+    return at
+
+
+def _within(ranks: np.ndarray, t: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How many suffixes of its group come before each: lists of one residue are in order by one rank, and any two lists meet at one offset."""
     residue = t % PERIOD
     lists = []
     for r in range(PERIOD):
@@ -102,23 +141,13 @@ def _sorted_bucket(text: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.nd
         for j, b in enumerate(lists):
             if len(a) and len(b):
                 d = OFFSET[i, j]
-                place[a] += np.searchsorted((group[b] << 32) + ranks[t[b] + d], (group[a] << 32) + ranks[t[a] + d])
-    done = np.empty_like(t)
-    done[place] = t
-    at[where] = done
-    return at
+                base = np.searchsorted(group[b], group[a])
+                place[a] += np.searchsorted((group[b] << 32) + ranks[t[b] + d], (group[a] << 32) + ranks[t[a] + d]) - base
+    return place
 
 
 def equal_to_previous(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Whether each position's first `length` bytes equal those of the position before it in `at`."""
     out = np.zeros(len(at), bool)
-    left = np.arange(1, len(at))
-    for d in range(0, length, 4):
-        d = min(d, length - 4)
-        x, y = at[left], at[left - 1]
-        same = np.ones(len(left), bool)
-        for i in range(4):
-            same &= text[x + d + i] == text[y + d + i]
-        left = left[same]
-    out[left] = True
+    out[1:] = equal_spans(text, at[1:], at[:-1], np.full(len(at) - 1, length)) if len(at) else False
     return out

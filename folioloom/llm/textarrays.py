@@ -8,6 +8,7 @@ for a word, a shingle or a byte window.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ LOWER[0x41:0x5B] += 32
 
 def release() -> None:
     """Gives freed memory back to the system, where the C library can; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
@@ -97,10 +99,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: MASKS[k] keeps the first k bytes of a little-endian word of eight.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes from which on a span is hashed by itself, with a cryptographic digest.
+LONG_SPAN = 2048
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number (zeros beyond the end)."""
+    return np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each byte range, eight bytes at a time.
+
+    Every step scrambles all that came before, so that texts do not collide by
+    their structure, as they do in sums of powers modulo 2^64.
+    """
+    size = end - start
+    at = lanes(data)
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+    h = mix(h ^ at[start] & MASKS[np.minimum(size, 8)])
+    live, step = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(live):
+        left = size[live] - step
+        h[live] = mix(h[live] ^ at[start[live] + step] & MASKS[np.minimum(left, 8)])
+        live, step = live[left > 8], step + 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
+        h[i] = np.frombuffer(digest.digest(), U64)[0]
+    return h
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from a on are those from b on, for each pair."""
+    at = lanes(data)
+    same = np.ones(len(a), bool)
+    live, step = np.flatnonzero(size > 0), 0
+    while len(live):
+        left = size[live] - step
+        mask = MASKS[np.minimum(left, 8)]
+        equal = (at[a[live] + step] ^ at[b[live] + step]) & mask == 0
+        same[live[~equal]] = False
+        live, step = live[equal & (left > 8)], step + 8
+    return same
+
+
 class Rolling:
     """Polynomial hashes modulo 2^64 of any range of a sequence of 64-bit values, by prefix sums.
 
-    All share one base, and so one table of powers for each worker; hashes are told apart by the values.
+    Different sequences with equal hashes can be made on purpose: these hashes
+    only bring together what is then compared byte by byte. All share one base,
+    and so one table of powers for each worker.
     """
 
     _tables: tuple[np.ndarray, np.ndarray] | None = None
@@ -186,11 +236,11 @@ def binaries(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob; `unpack` gives them back."""
     head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], np.int64).tobytes()
     raw = head + b"".join(a.tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", level).compress(raw, asbytes=True)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
