@@ -11,23 +11,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import record, schema_of, table, with_text
+from .cluster import record, schema_of, settled, table, with_text
 from .fm_index import FMIndex
-from .textarrays import ALNUM, LOWER, U64, Words, binaries, byte_rolling, expand, pieces, text_buffer
+from .textarrays import ALNUM, LOWER, Words, binaries, equal_spans, expand, pieces, release, span_hashes, text_buffer
 
 WINDOW = 10
 #: Bytes of benchmark text whose phrases are broadcast together; more is searched in several rounds.
-BLOCK_TEXT = 4 << 20
+BLOCK_TEXT = 2 << 20
+#: Bytes of documents that one index is made of; a longer document has an index of its own.
+SHARD_TEXT = 4 << 20
 CARRIED = "doc_id bigint, text string, hits binary, items array<string>"
 SCHEMA = "doc_id bigint, text string, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, kept string"
-SEED = 8
 
 
 @dataclass
 class Phrases:
-    """Distinct windows of a block of benchmark items, as symbols from 2 on; 1 separates runs of text."""
+    """Distinct windows of a block of benchmark items, as symbols from 2 on; 1 separates documents."""
 
-    hashes: np.ndarray  # of words, sorted; the i-th is symbol i + 2
+    seed: int
+    hashes: np.ndarray  # of the words, sorted; the i-th is symbol i + 2
+    body: np.ndarray  # bytes of the words
+    begin: np.ndarray
+    size: np.ndarray
     symbols: np.ndarray  # a row for each phrase
     lengths: np.ndarray
     owner: np.ndarray  # items of phrase p: owner[first[p]:first[p + 1]]
@@ -35,73 +40,71 @@ class Phrases:
     items: list  # item ids as strings, or None
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, words: Words) -> np.ndarray:
-    """Hash of each word, taken a piece of text at a time."""
-    out = np.empty(len(words.start), U64)
-    for a, b in pieces(offs):
-        i, j = words.first[a], words.first[b]
-        out[i:j] = byte_rolling(data[offs[a] : offs[b]], SEED).of(words.start[i:j] - offs[a], words.end[i:j] - offs[a])
-    return out
+def vocabulary(data: np.ndarray, words: Words) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """A seed under which different words have different hashes; these, sorted, the first place of each, and each word's index among them."""
+    seed = 8
+    while True:
+        h = span_hashes(data, words.start, words.end, seed)
+        known, at, of = np.unique(h, return_index=True, return_inverse=True)
+        size, lead = words.end - words.start, at[of]
+        if (size == size[lead]).all() and equal_spans(data, words.start, words.start[lead], size).all():
+            return seed, known, at, of
+        seed += 1
 
 
 def phrases(ids: list, texts: list, window: int) -> Phrases:
     data, offs = text_buffer(pa.array(texts, pa.string()))
     data = LOWER[data]
     words = Words(data, offs, ALNUM)
-    h = word_hashes(data, offs, words)
-    known = np.unique(h)
-    symbol = np.searchsorted(known, h) + 2
+    seed, known, at, symbol = vocabulary(data, words)
     size = np.minimum(words.counts, window)
     count = np.where(words.counts > 0, words.counts - size + 1, 0)
     start = expand(words.first[:-1], count)
     item = np.repeat(np.arange(len(ids)), count)
     length = size[item]
-    rows = np.zeros((len(start), window), np.int64)
+    rows = np.zeros((len(start), window), np.int32)
     for i in range(window):
         has = length > i
-        rows[has, i] = symbol[start[has] + i]
+        rows[has, i] = symbol[start[has] + i] + 2
     if len(rows):
-        rows, at = np.unique(rows, axis=0, return_inverse=True)
-        at = at.ravel()
-        pairs = np.unique(np.stack([at, item], 1), axis=0)
+        rows, of = np.unique(rows, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([of.ravel(), item], 1), axis=0)
     else:
         pairs = np.zeros((0, 2), np.int64)
     lengths = (rows > 0).sum(1)
     first = np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1))
-    return Phrases(known, rows, lengths, pairs[:, 1], first, [None if i is None else str(i) for i in ids])
+    sizes = words.end[at] - words.start[at]
+    body = data[expand(words.start[at], sizes)]
+    return Phrases(seed, known, body, np.cumsum(sizes) - sizes, sizes, rows, lengths, pairs[:, 1], first, [None if i is None else str(i) for i in ids])
 
 
-def shard_hits(data: np.ndarray, offs: np.ndarray, words: Words, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each word of the shard is hit, and the distinct (document, item) pairs, from an index of the shard.
+def symbols(data: np.ndarray, words: Words, p: Phrases) -> tuple[np.ndarray, int]:
+    """The symbol of each word, and how many symbols there are. A word of the phrases has theirs if its bytes are the same; others have symbols beyond."""
+    size = words.end - words.start
+    h = span_hashes(data, words.start, words.end, p.seed)
+    at = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
+    known = (p.hashes[at] == h) & (p.size[at] == size)
+    i = np.flatnonzero(known)
+    known[i] = equal_spans(np.append(data, p.body), words.start[i], len(data) + p.begin[at[i]], size[i])
+    fresh, other = np.unique(h[~known], return_inverse=True)
+    at[~known] = len(p.hashes) + other
+    return at + 2, len(p.hashes) + len(fresh) + 2
 
-    Words outside the phrases' vocabulary cannot be hit. The index holds the runs
-    of words in it that are as long as the shortest phrase at least.
-    """
+
+def shard_hits(data: np.ndarray, offs: np.ndarray, words: Words, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each word of the shard is hit, and the distinct (document, item) pairs, from an index of all its words."""
     hit = np.zeros(len(words.start), bool)
     none = np.zeros(0, np.int64)
     if not len(p.symbols) or not len(words.start):
         return hit, none, none
-    h = word_hashes(data, offs, words)
-    at = np.searchsorted(p.hashes, h)
-    at[at == len(p.hashes)] = 0
-    known = p.hashes[at] == h
-    step = np.ones(len(h) + 1, bool)
-    step[1:-1] = (known[1:] != known[:-1]) | (words.doc[1:] != words.doc[:-1])
-    edges = np.flatnonzero(step)
-    start, size = edges[:-1], np.diff(edges)
-    long = known[start] & (size >= p.lengths.min())
-    start, size = start[long], size[long]
-    if not len(start):
-        return hit, none, none
-    # run, separator, run, separator ...
-    place = np.append(0, np.cumsum(size + 1))
-    text = np.ones(place[-1], np.int64)
-    where = np.full(place[-1], -1)
-    inner, source = expand(place[:-1], size), expand(start, size)
-    text[inner], where[inner] = at[source] + 2, source
-    found, position = FMIndex(text, len(p.hashes) + 2).occurrences(p.symbols, p.lengths)
+    symbol, n = symbols(data, words, p)
+    # document, separator, document, separator ...
+    text, where = np.ones(len(symbol) + len(words.counts), np.int64), np.full(len(symbol) + len(words.counts), -1)
+    place = np.arange(len(symbol)) + words.doc
+    text[place], where[place] = symbol, np.arange(len(symbol))
+    found, position = FMIndex(text, n).occurrences(p.symbols, p.lengths)
     word = where[position]
-    cover = np.zeros(len(h) + 1, np.int64)
+    cover = np.zeros(len(symbol) + 1, np.int64)
     np.add.at(cover, word, 1)
     np.add.at(cover, word + p.lengths[found], -1)
     hit = np.cumsum(cover[:-1]) > 0
@@ -128,35 +131,39 @@ def cut(data: np.ndarray, offs: np.ndarray, words: Words, hit: np.ndarray) -> li
 
 
 def _kernel(block, last: bool, full: bool):
+    def searched(part: pa.RecordBatch, p: Phrases) -> pa.RecordBatch:
+        data, offs = text_buffer(part.column("text"))
+        lower = LOWER[data]
+        words = Words(lower, offs, ALNUM)
+        hit, doc, owner = shard_hits(lower, offs, words, p)
+        if "hits" in part.schema.names:
+            before = b"".join(part.column("hits").to_pylist())
+            hit = hit | (np.frombuffer(before, np.uint8) > 0)
+            items = part.column("items").to_pylist()
+        else:
+            items = [[] for _ in range(part.num_rows)]
+        for d, o in zip(doc.tolist(), owner.tolist(), strict=True):
+            if p.items[o] is not None:
+                items[d].append(p.items[o])
+        items = [sorted(set(x)) for x in items]
+        if not last:
+            flags = hit.astype(np.uint8).tobytes()
+            at = words.first.tolist()
+            return record(part, ["doc_id", "text", "hits", "items"], [part.column("doc_id"), part.column("text"), binaries([flags[a:b] for a, b in zip(at, at[1:], strict=False)]), pa.array(items, pa.list_(pa.string()))])
+        sums = np.append(0, np.cumsum(hit))
+        n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
+        shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        kept = pa.array(cut(data, offs, words, hit), pa.binary()).cast(pa.string()) if full else pa.nulls(part.num_rows, pa.string())
+        text = part.column("text") if full else pa.nulls(part.num_rows, pa.string())
+        columns = [part.column("doc_id"), text, pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array(n_hit > 0), kept]
+        return record(part, ["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "kept"], columns)
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Phrases = block.value
         for batch in batches:
-            data, offs = text_buffer(batch.column("text"))
-            lower = LOWER[data]
-            words = Words(lower, offs, ALNUM)
-            hit, doc, owner = shard_hits(lower, offs, words, p)
-            if "hits" in batch.schema.names:
-                before = b"".join(batch.column("hits").to_pylist())
-                hit = hit | (np.frombuffer(before, np.uint8) > 0)
-                items = batch.column("items").to_pylist()
-            else:
-                items = [[] for _ in range(batch.num_rows)]
-            for d, o in zip(doc.tolist(), owner.tolist(), strict=True):
-                if p.items[o] is not None:
-                    items[d].append(p.items[o])
-            items = [sorted(set(x)) for x in items]
-            if not last:
-                flags = hit.astype(np.uint8).tobytes()
-                at = words.first.tolist()
-                yield record(batch, ["doc_id", "text", "hits", "items"], [batch.column("doc_id"), batch.column("text"), binaries([flags[a:b] for a, b in zip(at, at[1:], strict=False)]), pa.array(items, pa.list_(pa.string()))])
-                continue
-            sums = np.append(0, np.cumsum(hit))
-            n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
-            shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            kept = pa.array(cut(data, offs, words, hit), pa.binary()).cast(pa.string()) if full else pa.nulls(batch.num_rows, pa.string())
-            text = batch.column("text") if full else pa.nulls(batch.num_rows, pa.string())
-            columns = [batch.column("doc_id"), text, pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array(n_hit > 0), kept]
-            yield record(batch, ["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "kept"], columns)
+            _, offs = text_buffer(batch.column("text"))
+            for a, b in pieces(offs, SHARD_TEXT):
+                yield searched(batch.slice(a, b - a), block.value)
+        release()
 
     return kernel
 
@@ -173,19 +180,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     match nothing; items with a null id hit words but are not counted. Repeated
     items count once by id; repeated documents are judged each by itself. Empty
     tables: no documents give no rows, no items hit nothing. Other columns are
-    ignored. The benchmark is broadcast in blocks of BLOCK_TEXT bytes, one after
-    the other over all documents, so its size is not bounded.
+    ignored. Phrases are broadcast for BLOCK_TEXT bytes of benchmark at a time;
+    what one round found is written before the next, so a benchmark of any size
+    needs the memory of one block, and an index of each shard for each block.
     """
     rows = with_text(docs, text, key, carry)
-    items = benchmark.select(F.col(f"`{item}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("string").alias("body"))
+    items = benchmark.select(F.col(f"`{item}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("string").alias("body")).distinct()
     total = items.agg(F.sum(F.octet_length("body"))).head()[0] or 0
     blocks = int(total // BLOCK_TEXT) + 1
+    if blocks > 1:
+        items = settled(items.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(blocks))).repartition("block").sortWithinPartitions("block"))
     context = docs.sparkSession.sparkContext
     for b in range(blocks):
-        got = items.where(F.pmod(F.xxhash64("id", "body"), F.lit(blocks)) == b).distinct().orderBy("id", "body").collect()
+        mine = items.where(F.col("block") == b) if blocks > 1 else items
+        got = mine.select("id", "body").orderBy("id", "body").collect()
         block = context.broadcast(phrases([r[0] for r in got], [r[1] for r in got], window))
         last = b == blocks - 1
         rows = rows.mapInArrow(_kernel(block, last, full), schema_of(SCHEMA if last else CARRIED, rows))
+        if not last:
+            rows = settled(rows)
     return rows
 
 

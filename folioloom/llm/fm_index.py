@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from .suffixes import firsts, refined
 from .textarrays import expand
 
 #: Every so many positions of the text, the suffix array is kept.
@@ -11,21 +12,25 @@ SAMPLE = 16
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a sequence whose last value, 0, occurs nowhere else."""
+    """Suffix array of a sequence whose last value, 0, occurs nowhere else: prefix doubling in which only ties are sorted again."""
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
+    at = np.argsort(text, kind="stable")
+    name = firsts(text[at[1:]] != text[at[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[at] = name
     step = 1
     while True:
-        follow = np.zeros(n, np.int64)
-        follow[: max(0, n - step)] = rank[step:] + 1
-        key = rank.astype(np.int64) << 32 | follow
-        order = np.argsort(key, kind="stable")
-        fresh = np.append(0, np.cumsum(np.diff(key[order]) != 0)) if n else order
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if not n or fresh[-1] == n - 1:
-            return order
+        same = name[1:] == name[:-1]
+        tied = np.append(False, same) | np.append(same, False)
+        if not tied.any():
+            break
+        at, name = at[tied], name[tied]
+        at, name = refined(at, name, rank[at + step])
+        rank[at] = name
         step *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 class WaveletTree:
