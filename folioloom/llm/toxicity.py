@@ -1,11 +1,19 @@
 """Operator 2: toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexical transducer turns words into classes: insult (with a weight learnt from
-the labels, by whole word or by stem), threat, target, negation, report, other.
-Transducers for negation, reported speech and targets rewrite insults and threats
-in their scope; composed, they are one machine that reads a clause and says how
-each match is to be taken. A document's matches, by kind, give its score through
-a logistic curve, so that a word alone says nothing apart from its clause.
+the labels, by whole word or by stem), threat, target, negation, report,
+determiner, other. A cascade of transducers reads the classes of a clause:
+
+* left to right, an insult behind a determiner or another insult is an epithet;
+* right to left, a threat with a target among the next words is a menace, and an
+  insult or epithet before a target is aimed; a threat without a target is nothing;
+* left to right, matches behind a negation are denied, those behind a verb of
+  speech quoted, and insults behind a target aimed.
+
+Machines of one direction are composed to one. A document's matches, by kind, give
+its score through a logistic curve learnt from the labels; an insult in none of
+these patterns is a kind of its own, which counts only as far as the labels say,
+and not at all without labels.
 """
 
 from __future__ import annotations
@@ -18,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import by_key, exchanged, record, schema_of, table, with_text
-from .textarrays import LOWER, U64, Words, binaries, byte_rolling, mix, pack, pieces, text_buffer, unpack
+from .textarrays import LOWER, U64, Words, binaries, pack, pieces, release, span_hashes, text_buffer, unpack
 from .transducers import Transducer, compose
 
 #: Words of the closed classes, in the languages of the corpus.
@@ -29,20 +37,23 @@ REPORTS = "said says say told called calls wrote writes quoted reported claimed
 #: Insults known beforehand, and their weight; the labels add to them.
 INSULTS = "idiot idiots moron morons stupid imbecile trash garbage scum loser losers pathetic worthless disgusting clown clowns dumb filth vermin idiota estúpido imbécil basura crétin stupide minable ordure dumm dummkopf abschaum trottel".split()
 SEED_WEIGHT = 3.0
-CLASSES = {"threat": THREATS, "target": TARGETS, "negation": NEGATIONS, "report": REPORTS}
+DETERMINERS = "the a an these those such what all every some any der die das den dem ein eine einen dieser diese le la les un une des ce cet cette el los las una unos este esta".split()
+CLASSES = {"threat": THREATS, "target": TARGETS, "negation": NEGATIONS, "report": REPORTS, "determiner": DETERMINERS}
 ALPHABET = ["other", "insult", *CLASSES]
-#: Words that a negation reaches.
+#: Words that a negation reaches, and within which a threat needs its target.
 REACH = 3
 STEMS = (5, 6, 7, 8, 9, 10)
 #: Share of the toxic documents that an insult is in at least; it bounds the lexicon.
 SHARE = 0.004
 LEAST_ODDS, LEAST_G = 2.0, 16.0
-#: Labelled rows that the curve is fitted on, at most.
+#: Labelled rows that the curve is fitted on, about, unless the caller says otherwise.
 CURVE_ROWS = 20_000
 #: Rows of the label table up to which it is broadcast; beyond, the join shuffles.
-SMALL_LABELS = 1_000_000
+SMALL_LABELS = 500_000
 THRESHOLD = 0.7
-KINDS = ["insult", "aimed", "denied", "quoted", "threat"]
+#: Matches of the grammar, and what negation and reported speech make of them.
+MATCHES = ("insult", "epithet", "aimed", "menace")
+KINDS = ["aimed", "epithet", "insult", "menace", "denied", "quoted"]
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
 #: Letters: a-z and bytes beyond ASCII.
@@ -52,32 +63,64 @@ _STOP = np.zeros(256, bool)
 _STOP[[*b".,;:!?\n|"]] = True
 
 
+def epithets() -> Transducer:
+    """Left to right: an insult behind a determiner or an insult is an epithet."""
+    arcs = {(s, "determiner"): (1, "other", 1.0) for s in (0, 1)}
+    return Transducer(0, {**arcs, (0, "insult"): (1, "insult", 1.0), (1, "insult"): (1, "epithet", 1.0)}, {1: 0})
+
+
+def aims() -> Transducer:
+    """Right to left: threats need a target among the REACH words behind them, and a target behind them aims insults and epithets."""
+    menace = Transducer(0, {}, {n: max(0, n - 1) for n in range(REACH + 1)})
+    for n in range(REACH + 1):
+        menace.arcs[(n, "target")] = (REACH, "target", 1.0)
+        menace.arcs[(n, "threat")] = (max(0, n - 1), "menace" if n else "other", 1.0)
+    return compose(menace, _aimed("target"), ALPHABET + ["epithet", "menace"])
+
+
+def _aimed(target_out: str) -> Transducer:
+    out = Transducer(0, {(s, "target"): (1, target_out, 1.0) for s in (0, 1)})
+    for m in ("insult", "epithet"):
+        out.arcs[(1, m)] = (1, "aimed", 1.0)
+    return out
+
+
 def grammar() -> Transducer:
-    """Negation, then reported speech, then targets, as one transducer over the classes."""
-    matches = ("insult", "threat")
+    """Left to right: negation, then reported speech, then targets, as one transducer."""
     negation = Transducer(0, {}, {n: max(0, n - 1) for n in range(REACH + 1)})
     for n in range(REACH + 1):
         negation.arcs[(n, "negation")] = (REACH, "other", 1.0)
         if n:
-            for m in matches:
+            for m in MATCHES:
                 negation.arcs[(n, m)] = (n - 1, "denied", 1.0)
     report = Transducer(0, {(0, "report"): (1, "other", 1.0), (1, "report"): (1, "other", 1.0)})
-    target = Transducer(0, {(0, "target"): (1, "other", 1.0), (1, "target"): (1, "other", 1.0), (1, "insult"): (1, "aimed", 1.0)})
-    for m in (*matches, "denied"):
+    for m in (*MATCHES, "denied"):
         report.arcs[(1, m)] = (1, "quoted", 1.0)
-    alphabet = [*ALPHABET, "denied", "quoted"]
-    return compose(compose(negation, report, alphabet), target, alphabet)
+    alphabet = [*ALPHABET, "epithet", "aimed", "menace", "denied", "quoted"]
+    return compose(compose(negation, report, alphabet), _aimed("other"), alphabet)
+
+
+class Cascade:
+    """The three machines, one after the other over a clause."""
+
+    def __init__(self) -> None:
+        self.first, self.back, self.last = epithets(), aims(), grammar()
+
+    def run(self, symbols: list[str]) -> list[str]:
+        """What each symbol of a clause comes to."""
+        there = [o for o, _ in self.first.run(symbols)]
+        back = [o for o, _ in self.back.run(there[::-1])][::-1]
+        return [o for o, _ in self.last.run(back)]
 
 
 def features(data: np.ndarray, words: Words) -> list[np.ndarray]:
     """Hash of each whole word, and of each of its stems; 0 where the word is too short."""
-    rolling = byte_rolling(data, 12)
-    out = [rolling.of(words.start, words.end)]
+    out = [span_hashes(data, words.start, words.end, 12)]
     size = words.end - words.start
     for p in STEMS:
         h = np.zeros(len(size), U64)
         long = size > p
-        h[long] = mix(rolling.of(words.start[long], words.start[long] + p) + U64(p))
+        h[long] = span_hashes(data, words.start[long], words.start[long] + p, 13)
         out.append(h)
     return out
 
@@ -103,7 +146,7 @@ class Lookup:
 
 def _word_hash(words: list[str]) -> np.ndarray:
     data, offs = text_buffer(pa.array(words, pa.string()))
-    return byte_rolling(data, 12).of(offs[:-1], offs[1:])
+    return span_hashes(data, offs[:-1], offs[1:], 12)
 
 
 def doc_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +218,8 @@ def _add_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), binaries([total.tobytes()])], names=["bucket", "blob"])
 
 
-def clause_matches(data: np.ndarray, offs: np.ndarray, insults: Lookup, closed: Lookup, machine: Transducer) -> np.ndarray:
-    """For each document: sums of weights by kind, the largest insult weight, and the logarithm of its words."""
+def clause_matches(data: np.ndarray, offs: np.ndarray, insults: Lookup, closed: Lookup, machine: Cascade) -> np.ndarray:
+    """For each document: sums of weights by kind, the largest weight of an insult neither denied nor quoted, and the logarithm of its words."""
     data = LOWER[data]
     words = Words(data, offs, LETTERS)
     out = np.zeros((len(offs) - 1, len(KINDS) + 2))
@@ -199,14 +242,13 @@ def clause_matches(data: np.ndarray, offs: np.ndarray, insults: Lookup, closed:
     first = np.append(np.flatnonzero(fresh), len(fresh))
     kind_of = {k: j for j, k in enumerate(KINDS)}
     for a, b in zip(first[hit].tolist(), first[hit + 1].tolist(), strict=True):
-        state, doc = machine.start, words.doc[a]
-        for j in range(a, b):
-            state, o, w = machine.step(state, ALPHABET[symbol[j]])
+        doc = words.doc[a]
+        for j, o in zip(range(a, b), machine.run([ALPHABET[x] for x in symbol[a:b].tolist()]), strict=True):
             k = kind_of.get(o)
             if k is not None:
-                w *= weight[j] or 1.0
+                w = weight[j] or 1.0
                 out[doc, k] += w
-                if k < 2:
+                if k < 3:
                     out[doc, -2] = max(out[doc, -2], w)
     return out
 
@@ -233,7 +275,7 @@ def _match_kernel(model, scored: bool):
         insults = Lookup(keys, weights)
         names = list(CLASSES)
         closed = Lookup(np.concatenate([_word_hash(CLASSES[c]) for c in names]), np.concatenate([np.full(len(CLASSES[c]), 2 + j, np.int8) for j, c in enumerate(names)]))
-        machine = grammar()
+        machine = Cascade()
         for batch in batches:
             data, offs = text_buffer(batch.column("text"))
             parts = [clause_matches(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], insults, closed, machine) for a, b in pieces(offs)]
@@ -243,6 +285,7 @@ def _match_kernel(model, scored: bool):
                 continue
             score = 1 / (1 + np.exp(-np.clip(design(x) @ beta, -30, 30)))
             yield record(batch, ["doc_id", "held_out", "score", "predicted", *(["text"] if "row" in batch.schema.names else [])], [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *([batch.column("text")] if "row" in batch.schema.names else [])])
+        release()
 
     return kernel
 
@@ -252,8 +295,8 @@ def remainder(key: Column, by: int) -> Column:
 
 
 def labelled(rows: DataFrame, labels: DataFrame, label: str, usable: Column) -> tuple[DataFrame, int]:
-    """(text, doc_id, y) of usable labelled rows and how many labels there are. The labels are broadcast only up to SMALL_LABELS rows."""
-    told = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    """(text, doc_id, y) of usable labelled rows and how many labels there are. Of several labels of one id the largest holds. The labels are broadcast only up to SMALL_LABELS rows."""
+    told = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     n = told.count()
     return rows.join(F.broadcast(told) if n <= SMALL_LABELS else told, "doc_id"), n
 
@@ -269,7 +312,7 @@ def surprise(pos: np.ndarray, positive: int, neg: np.ndarray, negative: int) ->
     return 2 * (part(pos, positive * share) + part(positive - pos, positive * (1 - share)) + part(neg, negative * share) + part(negative - neg, negative * (1 - share)))
 
 
-def train(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(rows: DataFrame, labels: DataFrame, rows_to_fit: int = CURVE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of insults, their weights, and the curve."""
     context = rows.sparkSession.sparkContext
     known, n = labelled(rows, labels, "toxic", remainder(F.col("doc_id"), 3) != 1)
@@ -290,27 +333,30 @@ def train(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, n
     seeds = _word_hash(INSULTS)
     fresh = ~np.isin(seeds, keys)
     keys, weights = np.append(keys, seeds[fresh]), np.append(weights, np.full(fresh.sum(), SEED_WEIGHT))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, CURVE_ROWS / max(1, n)))).select("y", "text")
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows_to_fit / max(1, n)))).select("y", "text")
     model = context.broadcast((keys, weights, None))
     got = chosen.mapInArrow(_match_kernel(model, False), "y int, x binary").collect()
+    if not got or len({r[0] for r in got}) < 2:
+        # Without labels of both classes: the seed words and a fixed curve, under which a text without matches scores below the threshold.
+        return keys, weights, np.array([-3.0, 3.0, 2.0, 0.0, 6.0, -1.0, -1.0, 0.0, 0.0])
     x = np.array([np.frombuffer(r[1]) for r in got]).reshape(len(got), -1)
-    if not len(got):
-        return keys, weights, np.array([-3.0, *([2.0] * len(KINDS)), 1.0, 0.0])
     order = np.lexsort(x.T)
     return keys, weights, fit_logistic(design(x[order]), np.array([r[0] for r in got], np.float64)[order])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", carry: bool = False, rows_to_fit: int = CURVE_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document; with `carry`, text and the other columns as `row`, too.
 
     Labels of rows with crc32(key as text) mod 3 = 1 are never read. A null or
     empty text has no clause and gets the score of no match. A null key is
     scored like any other and counts as not held out. Repeated rows get equal
-    scores. Without usable labels every score is below the threshold; an empty
-    table gives an empty table. Other columns are ignored.
+    scores. Conflicting labels of one key count as toxic. Without usable labels of
+    both classes, the lexicon is the words known beforehand and the curve a fixed
+    one; an empty table gives an empty table. Other columns are ignored. The
+    curve is fitted on `rows_to_fit` labelled rows, about; the lexicon on all.
     """
     rows = with_text(docs, text, key, carry)
-    model = docs.sparkSession.sparkContext.broadcast(train(rows.select("doc_id", "text"), labels))
+    model = docs.sparkSession.sparkContext.broadcast(train(rows.select("doc_id", "text"), labels, rows_to_fit))
     return rows.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))).mapInArrow(_match_kernel(model, True), schema_of(SCHEMA + (", text string" if carry else ""), rows))
 
 
