@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .cluster import table, with_text
 from .textarrays import ALNUM, LOWER, Words, expand, pieces, text_buffer
 
-SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, expressions array<string>"
+SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, expressions array<string>, permissive boolean"
 
 #: Fixed by the contract of the query.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -40,6 +40,8 @@ NOTICES = {
 TAGS = ("spdx license identifier", "licensed under", "released under", "license expression")
 #: Beginnings of identifiers in expressions, longest first, and their labels.
 IDENTIFIERS = {"apache": "apache", "mit": "mit", "lgpl": "lgpl", "agpl": "agpl", "gpl": "gpl", "mpl": "mpl", "epl": "epl", "bsd": "bsd", "isc": "isc", "bsl": "bsl", "cc-by-sa": "cc-by-sa", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "cc-by": "cc-by", "cc0": "cc0", "unlicense": "unlicense"}
+#: Labels that ask for attribution at most.
+PERMISSIVE = frozenset(["apache", "mit", "bsd", "isc", "bsl", "cc-by", "cc0", "unlicense"])
 #: How sure one piece of evidence makes: a contract phrase, a notice phrase, an identifier in an expression.
 SURE = {"base": 0.9, "notice": 0.8, "tag": 0.95}
 
@@ -94,23 +96,56 @@ def to_postfix(tokens: list[str]) -> list[str]:
     return out
 
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The alternatives that an expression grants: sets of identifiers to comply with together."""
-    stack: list[list[frozenset[str]]] = []
+def alternatives(postfix: list[str]) -> Iterator[frozenset[str]]:
+    """The alternatives that an expression grants, one at a time: sets of identifiers to comply with together. Their number may be exponential."""
+    # An operand is a set of identifiers, an "or" or "and" a list of what it joins; chains of one operator are one list.
+    stack: list = []
     for t in postfix:
-        if t == "or":
-            b, a = stack.pop(), stack.pop()
-            stack.append(list(dict.fromkeys(a + b)))
-        elif t == "and":
+        if t in ("or", "and"):
             b, a = stack.pop(), stack.pop()
-            stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
+            stack.append((t, [*(a[1] if a[0] == t else [a]), *(b[1] if b[0] == t else [b])]))
         elif t == "with":
-            b, a = stack.pop(), stack.pop()
-            if len(b) != 1 or len(b[0]) != 1:
+            (_, b), a = stack.pop(), stack.pop()
+            if a[0] != "is" or not isinstance(b, str):
                 raise ExpressionError(t)
-            stack.append([frozenset(f"{i} with {next(iter(b[0]))}" for i in x) for x in a])
+            stack.append(("is", f"{a[1]} with {b}"))
+        else:
+            stack.append(("is", t))
+
+    def each(node: tuple) -> Iterator[frozenset[str]]:
+        kind, of = node
+        if kind == "is":
+            yield frozenset([of])
+        elif kind == "or":
+            for x in of:
+                yield from each(x)
+        elif len(of) == 1:
+            yield from each(of[0])
         else:
-            stack.append([frozenset([t])])
+            half = len(of) // 2
+            for x in each(("and", of[:half])):
+                for y in each(("and", of[half:])):
+                    yield x | y
+
+    seen = set()
+    for x in each(stack[0]):
+        if x not in seen:
+            seen.add(x)
+            yield x
+
+
+def granted(postfix: list[str], labels: frozenset[str]) -> bool:
+    """Whether an expression can be met with licences of these labels alone, in one pass."""
+    stack: list[bool] = []
+    for t in postfix:
+        if t == "or":
+            stack[-2:] = [stack[-2] or stack[-1]]
+        elif t == "and":
+            stack[-2:] = [stack[-2] and stack[-1]]
+        elif t == "with":
+            stack.pop()
+        else:
+            stack.append(label_of(t) in labels)
     return stack[0]
 
 
@@ -151,10 +186,10 @@ def expression(text: str, at: int = 0) -> list[str]:
     return tokens[:best]
 
 
-def parse(text: str) -> tuple[str, list[frozenset[str]]] | None:
+def parse(text: str) -> tuple[str, Iterator[frozenset[str]]] | None:
     """The expression at the beginning of a (lower-case) text, and its alternatives."""
     tokens = expression(text)
-    return (" ".join(tokens), evaluate(to_postfix(tokens))) if tokens else None
+    return (" ".join(tokens), alternatives(to_postfix(tokens))) if tokens else None
 
 
 def labels_of(postfix: list[str]) -> set[str]:
@@ -175,35 +210,39 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
-def spaced(data: np.ndarray, words: Words) -> tuple[bytes, np.ndarray]:
-    """Each document as its words with a space before each and after the last; and the offsets."""
+def spaced(data: np.ndarray, words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Each document as its words with a space before each; the offsets of documents, and of words in all."""
     size = words.end - words.start + 1
     padded = np.append(data, np.uint8(32))
     body = padded[expand(words.start - 1, size)] if len(size) else padded[:0]
     begin = np.cumsum(size) - size
     body[begin] = 32
     at = np.append(0, np.cumsum(size))[words.first]
-    return body.tobytes(), at
+    return body.tobytes(), at, begin
 
 
-def scan(lower: bytes, ends: np.ndarray, body: str, automaton: ahocorasick.Automaton) -> tuple:
-    """(starts of contract phrases, their labels, all labels, score, expressions) of one document, whose words end at `ends`."""
-    starts, base, labels, doubt, tags = [], set(), set(), 1.0, []
+def scan(lower: bytes, ends: np.ndarray, body: str, begin: np.ndarray, automaton: ahocorasick.Automaton) -> tuple:
+    """(starts of contract phrases, their labels, all labels, score, expressions, whether permissive licences meet them) of one document.
+
+    body has its words, a byte for a character, at the places `begin`; they end at `ends` in the text.
+    """
+    places, base, labels, doubt, tagged = [], set(), set(), 1.0, []
     seen = set()
-    words, upto = 0, 0
     for end, (size, found) in automaton.iter(body):
         for kind, label in found:
             if kind == "tag":
-                words, upto = words + body.count(" ", upto, end), end
-                tags.append(int(ends[words - 1]))
+                tagged.append(end)
                 continue
             if kind == "base":
-                starts.append(body.count(" ", 0, end - size + 1))
+                places.append(end - size + 1)
                 base.add(label)
             labels.add(label)
             if (kind, label) not in seen:
                 seen.add((kind, label))
                 doubt *= 1 - SURE[kind]
+    starts = np.searchsorted(begin, places).tolist()
+    tags = ends[np.searchsorted(begin, tagged) - 1].tolist() if tagged else []
+    permissive = None
     expressions = []
     if tags:
         text, at, byte = lower.decode(), 0, 0
@@ -212,18 +251,20 @@ def scan(lower: bytes, ends: np.ndarray, body: str, automaton: ahocorasick.Autom
             tokens = expression(text, _OPEN.match(text, at).end())
             if tokens:
                 expressions.append(" ".join(tokens))
-                new = labels_of(to_postfix(tokens))
+                postfix = to_postfix(tokens)
+                permissive = granted(postfix, PERMISSIVE) and permissive is not False
+                new = labels_of(postfix)
                 for label in sorted(new):
                     if ("tag", label) not in seen:
                         seen.add(("tag", label))
                         doubt *= 1 - SURE["tag"]
                 labels |= new
-    return starts, base, labels, 1 - doubt, expressions
+    return starts, base, labels, 1 - doubt, expressions, permissive
 
 
 def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     automaton = _automaton()
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions"]
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "permissive"]
     for batch in batches:
         data, offs = text_buffer(batch.column("text"))
         counts, rows = [], []
@@ -231,11 +272,12 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece, o = LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a]
             words = Words(piece, o, ALNUM)
             counts.append(words.counts)
-            body, at = spaced(piece, words)
+            body, at, begin = spaced(piece, words)
             whole = piece.tobytes()
             for i in range(b - a):
-                mine = (body[at[i] : at[i + 1]] + b" ").decode()
-                rows.append(scan(whole[o[i] : o[i + 1]], words.end[words.first[i] : words.first[i + 1]] - o[i], mine, automaton))
+                own = slice(words.first[i], words.first[i + 1])
+                mine = (body[at[i] : at[i + 1]] + b" ").decode("latin-1")
+                rows.append(scan(whole[o[i] : o[i + 1]], words.end[own] - o[i], mine, begin[own] - at[i], automaton))
         starts = [r[0] for r in rows]
         columns = [
             batch.column("doc_id"),
@@ -247,6 +289,7 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([",".join(sorted(r[2])) for r in rows], pa.string()),
             pa.array([r[3] for r in rows], pa.float64()),
             pa.array([r[4] for r in rows], pa.list_(pa.string())),
+            pa.array([r[5] for r in rows], pa.bool_()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -261,10 +304,11 @@ def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     0. A null or empty text has no words. Rows are independent, so repeated rows
     and keys give repeated results; an empty table gives an empty table. An
     expression is looked for after every tag, over line breaks too; a malformed
-    one adds the part that parses. Other columns are ignored.
+    one adds the part that parses; `permissive` says whether all of them can be met
+    with permissive licences, and is null without one. Other columns are ignored.
     """
     return with_text(docs, text, key).mapInArrow(_kernel, SCHEMA)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents")).drop("expressions")
+    return license_scan(table(spark, sf_dir, "documents")).drop("expressions", "permissive")
