@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import table, with_text
-from .textarrays import pieces, text_buffer
+from .textarrays import pieces, release, text_buffer
 from .toxicity import labelled, remainder
 
 #: Bytes from one filter position to the next; a filter sees two steps.
@@ -64,11 +64,17 @@ def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def half_maxima(net: Network, text: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Largest response of each filter in each half chunk, and the position of it."""
+def last_steps(first: np.ndarray) -> np.ndarray:
+    return first[1:] * (HALF // STEP) - 1
+
+
+def half_maxima(net: Network, text: np.ndarray, first: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Largest response of each filter in each half chunk, and the position of it. Behind a document's last step a filter sees zeros, not the next document."""
     x = net.embed[text].reshape(-1, STEP * DIMENSIONS)
     r = x[:-1] @ net.near
     r += x[1:] @ net.far
+    last = last_steps(first)
+    r[last] = x[last] @ net.near + np.tile(net.embed[0], STEP) @ net.far
     r = r.reshape(-1, HALF // STEP, FILTERS)
     at = r.argmax(1) if where else None
     return r.max(1) + net.bias, at
@@ -99,7 +105,7 @@ def scores(net: Network, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if len(offs) < 2:
         return np.zeros(0)
     text, first = padded(data, offs)
-    half, _ = half_maxima(net, text)
+    half, _ = half_maxima(net, text, first)
     chunk, _, doc = pooled(half, first)
     z = combine(net, chunk, doc, len(offs) - 1)[2].astype(np.float64)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -108,7 +114,7 @@ def scores(net: Network, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def gradients(net: Network, data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     n = len(y)
     text, first = padded(data, offs)
-    half, at = half_maxima(net, text, True)
+    half, at = half_maxima(net, text, first, True)
     chunk, source, doc = pooled(half, first)
     v, h, z, begin, size = combine(net, chunk, doc, n)
     dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n).astype(np.float32)
@@ -126,6 +132,7 @@ def gradients(net: Network, data: np.ndarray, offs: np.ndarray, y: np.ndarray) -
     hb = source[c, f]
     place = (hb * (HALF // STEP) + at[hb, f]) * STEP
     seen = text[place[:, None] + np.arange(2 * STEP)]
+    seen[np.isin(place // STEP, last_steps(first)), STEP:] = 0
     x = net.embed[seen].reshape(len(c), 2, STEP * DIMENSIONS)
     dnear, dfar = np.zeros_like(net.near), np.zeros_like(net.far)
     dbias = np.bincount(f, g, FILTERS).astype(np.float32)
@@ -180,6 +187,7 @@ def _score_kernel(model):
             got = [scores(net, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in pieces(offs)]
             s = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        release()
 
     return kernel
 
