@@ -22,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .cluster import table, with_text
+from .textarrays import release
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids string, decoded string"
 #: Words whose encoding a Python worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: White space of Unicode.
 SPACE = "[\t-\r \x85\xa0  -     　]"
 END = "\n"
@@ -101,6 +102,12 @@ class Tokenizer:
         self.automaton.make_automaton()
         self.memo = _Memo(self._encode_word)
 
+    def forget(self) -> None:
+        """Gives up what was remembered; a Python worker lives on after its partition, and keeps the vocabulary only."""
+        self.memo.clear()
+        self.memo.old = {}
+        self._together.clear()
+
     def _compatible(self, left: int, right: int, limit: int) -> bool:
         """Whether the merges of `left` and `right` are all done before any merge across their boundary of a rank below `limit`."""
         joined, parts, base = self.joined, self.parts, self.base
@@ -122,7 +129,7 @@ class Tokenizer:
         key = (left, right)
         got = self._together.get(key)
         if got is None:
-            if len(self._together) > 1_000_000:
+            if len(self._together) > 300_000:
                 self._together.clear()
             got = self._together[key] = self._compatible(left, right, 1 << 60)
         return got
@@ -207,6 +214,8 @@ def _kernel(definition, full: bool):
                     decoded.append(d if full else None)
                 columns = [part.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in (sha_i, sha_d, ids, decoded))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+        t.forget()
+        release()
 
     return kernel
 
