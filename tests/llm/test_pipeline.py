@@ -65,3 +65,25 @@ def test_run_is_the_stages(spark, tables):
 
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+
+
+def test_nulls_repeats_clashing_names_and_empty_tables(spark, tables, tmp_path):
+    """Every stage takes null ids and texts, repeated rows and columns with names of its own, and an empty table."""
+    folder = tables[0]
+    a = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, a + " more of it"), (2, a), (None, a), (None, None), (None, ""), (None, ""), (5, None), (5, " \t"), (6, "x " * 50_000)]
+    schema = "doc_id long, text string, row string, n_words int, kept string, repeats string, packed string, n_chars int"
+    docs = spark.createDataFrame([(i, t, "r", 7, "k", "q", "p", len(t or "")) for i, t in rows], schema)
+    sizes = []
+    for some in (docs, docs.limit(0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, some, folder)
+            if name != "bpe":
+                assert got.schema.simpleString() == docs.schema.simpleString()
+            got.write.mode("overwrite").parquet(f"{tmp_path}/{k}")
+            some = spark.read.parquet(f"{tmp_path}/{k}")
+            sizes.append(some.count())
+            if name not in ("toxicity", "bpe"):
+                assert {tuple(r) for r in some.select("row", "n_words", "kept", "repeats", "packed").distinct().collect()} <= {("r", 7, "k", "q", "p")}
+    # one of the five copies of a, one of the very long text, and the six rows without words
+    assert sizes == [11, 7, 7, 7, 7, 0, 0, 0, 0, 0]
