@@ -102,12 +102,6 @@ class Tokenizer:
         self.automaton.make_automaton()
         self.memo = _Memo(self._encode_word)
 
-    def forget(self) -> None:
-        """Gives up what was remembered; a Python worker lives on after its partition, and keeps the vocabulary only."""
-        self.memo.clear()
-        self.memo.old = {}
-        self._together.clear()
-
     def _compatible(self, left: int, right: int, limit: int) -> bool:
         """Whether the merges of `left` and `right` are all done before any merge across their boundary of a rank below `limit`."""
         joined, parts, base = self.joined, self.parts, self.base
@@ -188,6 +182,7 @@ class Tokenizer:
         return [int(i) for i in ids.split(" ")] if ids else []
 
 
+#: The tokenizer of the partition that a worker is at; it takes half a second to make and is given up at the end.
 _built: dict[str, Tokenizer] = {}
 
 
@@ -214,7 +209,8 @@ def _kernel(definition, full: bool):
                     decoded.append(d if full else None)
                 columns = [part.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in (sha_i, sha_d, ids, decoded))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
-        t.forget()
+        _built.clear()
+        del t
         release()
 
     return kernel

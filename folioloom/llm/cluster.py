@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .textarrays import release
+from .textarrays import trim
 
 #: Bytes of text that one bucket of a packed exchange is meant to come from.
 BUCKET_TEXT = 16 << 20
@@ -128,7 +128,7 @@ def by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tupl
                     held.append(batch.slice(a, i - a))
                 if held:
                     yield last, pa.Table.from_batches(held)
-                    release()
+                    trim()
                 held, last, a = [], key, i
         held.append(batch.slice(a))
     if held:

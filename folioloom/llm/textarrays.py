@@ -32,7 +32,13 @@ LOWER[0x41:0x5B] += 32
 
 
 def release() -> None:
-    """Gives freed memory back to the system, where the C library can; workers live on between stages."""
+    """What a kernel does when its partition ends: workers live on, and give up their tables and the memory that is free."""
+    Rolling.forget()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -42,7 +48,7 @@ def release() -> None:
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, starting at 0) of a string or binary column; null is empty."""
-    release()
+    trim()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -161,6 +167,10 @@ class Rolling:
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(values * powers[:n], out=self.sums[1:])
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._tables = None
+
     @classmethod
     def tables(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         got = cls._tables
