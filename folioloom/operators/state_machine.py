@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from ..shipping import ship
 
-SCHEMA = "file string, row int, filename string, document string, part_of string, kind string"
+SCHEMA = "file string, row int, filename string, document string, part_of string, kind string, seq int"
 _SAME = re.compile(r"^\s*SAME\s+AS\s+(.+?)\s*$", re.IGNORECASE)
 
 
@@ -25,10 +25,11 @@ def segment_file(rows: list[dict], inventory: str) -> list[tuple[int, str, str,
     """(row, filename, document, part_of, kind) of each link of a scan with a document, in order of rows; kind is document or part.
 
     A document is its identifier, whatever is open. START of a part counts up and
-    belongs to the current document, also where that ends on the same row. END
-    links first and closes then, and the end of a document leaves none current.
+    belongs to the current document, also where that ends on the same row. END on
+    a row with an identifier links first and closes then, and leaves none current.
     Pages of another type are not linked, but their boundaries take effect.
-    'SAME AS f' links to whatever f is linked to, be it later in the file.
+    'SAME AS f' links to the documents, not the parts, that rows of f name, be it
+    later in the file; these links come after all others.
     """
     out: list[tuple[int, str, str, str | None, str]] = []
     of_scan: dict[str, list[tuple[str, str | None, str]]] = {}
@@ -46,9 +47,9 @@ def segment_file(rows: list[dict], inventory: str) -> list[tuple[int, str, str,
         if same:
             waiting.append((r["row"], scan, same[1], other))
         else:
-            closing = (boundary or "").upper() == "END"
             key = _text(r["identifier"])
             if key is not None:
+                closing = boundary == "END"
                 current = key
                 mine.append((key, None, "document"))
         tokens = [t.strip().upper() for t in (_text(r["parts"]) or "").split("/") if t.strip()]
@@ -66,7 +67,7 @@ def segment_file(rows: list[dict], inventory: str) -> list[tuple[int, str, str,
         if closing:
             current = None
         mine = list(dict.fromkeys(mine))
-        of_scan.setdefault(scan, []).extend(m for m in mine if m[2] == "document" or not other)
+        of_scan.setdefault(scan, []).extend(m for m in mine if m[2] == "document")
         if not other:
             out += [(r["row"], scan, *m) for m in mine]
     for row, scan, source, other in waiting:
@@ -77,7 +78,7 @@ def segment_file(rows: list[dict], inventory: str) -> list[tuple[int, str, str,
 
 
 def segmentation_events(rows: DataFrame) -> DataFrame:
-    """Links of all files. rows: file, row, filename, boundary, identifier, parts, other."""
+    """Links of all files, `seq` being their order in a file. rows: file, row, filename, boundary, identifier, parts, other."""
     ship(rows.sparkSession)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,9 +86,9 @@ def segmentation_events(rows: DataFrame) -> DataFrame:
         file = pdf["file"].iloc[0]
         names = [p.rsplit("_", 2) for p in pdf["filename"] if isinstance(p, str)]
         from_rows = next((p[1] for p in names if len(p) == 3 and p[2].isdigit()), None)
-        from_file = re.match(r"\d+\w?", file or "")
+        from_file = re.match(r"\d+", file or "")
         inventory = from_rows or (from_file[0] if from_file else "0")
         got = segment_file(pdf.to_dict("records"), inventory)
-        return pd.DataFrame([(file, *g) for g in got], columns=["file", "row", "filename", "document", "part_of", "kind"])
+        return pd.DataFrame([(file, *g, i) for i, g in enumerate(got)], columns=["file", "row", "filename", "document", "part_of", "kind", "seq"])
 
     return rows.groupBy("file").applyInPandas(solve, SCHEMA)

@@ -12,6 +12,7 @@ from ..functions import confidence_from_number, confidence_rank, contains_folded
 from ..operators import hierarchy, lookups, provenance, sequences
 from ..operators.boundaries import boundary_links
 from ..schemas import CONFIDENCE
+from ..settling import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,9 +69,9 @@ def scan_order_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT inventory_number, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(inventory_number, '^\\d*') AS BIGINT), upper(regexp_replace(inventory_number, '^\\d*', ''))) AS BIGINT) AS place FROM arch_inventory")
 def natural_sort_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Place in natural order: a range-partitioned sort, then counts of the partitions before (no single-partition window)."""
+    """Place in natural order: a range-partitioned sort, settled once, then counts of the partitions before (no single-partition window)."""
     inv = A.inventories(spark, sf).select("inventory_number", natural_key("inventory_number").alias("k"))
-    part = inv.repartitionByRange("k").sortWithinPartitions("k").withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
+    part = settled(inv.repartitionByRange("k").sortWithinPartitions("k").withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()))
     local = part.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("m")))
     sizes = local.groupBy("p").agg(F.count("*").alias("size"))
     before = sizes.select(F.explode(F.expr("sequence(p + 1, p + 1)")).alias("q"), "p", "size")
@@ -218,11 +219,11 @@ def upsert_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT w.name, s.filename AS scan_id FROM (SELECT DISTINCT regexp_replace(filename, '_0+(\\d+)$', '_\\1') AS name FROM arch_scan WHERE scan_no % 9 = 0 AND scan_no % 97 <> 0) w
+SELECT w.name, s.filename AS scan_id FROM (SELECT DISTINCT regexp_replace(filename, '_0+(\\d+)$', '_\\1') AS name FROM arch_scan WHERE scan_no % 97 <> 0) w
  LEFT JOIN arch_scan s ON s.filename = CASE WHEN length(regexp_extract(w.name, '_(\\d+)$', 1)) < 4 THEN regexp_replace(w.name, '_\\d+$', '_' || lpad(regexp_extract(w.name, '_(\\d+)$', 1), 4, '0')) ELSE w.name END""")
 def pad_fallback_lookup(spark: SparkSession, sf: str) -> DataFrame:
     scans = A.scans(spark, sf)
-    wanted = scans.where("scan_no % 9 = 0 and scan_no % 97 <> 0").select(F.regexp_replace("filename", r"_0+(\d+)$", "_$1").alias("name")).distinct()
+    wanted = scans.where("scan_no % 97 <> 0").select(F.regexp_replace("filename", r"_0+(\d+)$", "_$1").alias("name")).distinct()
     return lookups.file_lookup(wanted, "name", scans.select("scan_id", "filename")).select("name", "scan_id")
 
 
@@ -297,9 +298,10 @@ def series_paths(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.paths(_series(spark, sf))
 
 
-@query(_view(_SERIES, "SELECT DISTINCT ancestor_id AS id FROM up WHERE id IN (SELECT id FROM series WHERE id LIKE 's%' AND CAST(substr(id, 2) AS INTEGER) % 10 = 0)"))
+@query(_view(_SERIES, "SELECT DISTINCT ancestor_id AS id FROM up WHERE id IN (SELECT 's' || CAST(l_suppkey AS VARCHAR) FROM lineitem)"))
 def series_closure(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = _series(spark, sf).where("id like 's%'").where(F.substring("id", 2, 20).cast("int") % 10 == 0)
+    """Series of the suppliers that have line items, and all above them."""
+    wanted = A.read(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("id")).distinct()
     return hierarchy.closure(_series(spark, sf), wanted)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import blank_to_null, date_range, dates_of, effective_end, languages, name_id, placeholder, scan_order, scan_type, strip, to_int, type_ids, uuid_or_null, year_end, year_start
+from ..functions import date_range, dates_of, languages, name_id, placeholder, scan_order, scan_type, strip, to_int, type_ids, uuid_or_null, year_end, year_start
 from ..functions.literals import parse_folios, parse_header
 from ..operators import lookups, provenance, sequences
 from ..operators.hierarchy import closure
@@ -159,25 +159,18 @@ def header_titles(document: DataFrame, link: DataFrame, page: DataFrame, scan: D
 
 
 def validated_links(rows: DataFrame, page: DataFrame, scan: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
-    """Links of validated segmentation files, and all links after them: on pages and documents that the files touch, weaker ones go."""
+    """Links of validated segmentation files, and all links after them.
+
+    On pages that the files link, and of documents that they name, links weaker
+    than a sign-off go; a document's other links elsewhere do not concern the
+    documents that share their pages. Indices follow the order of the links in
+    their file, so those by reference to another scan come last.
+    """
     events = segmentation_events(rows)
     sides = page.select(F.col("id").alias("page_id"), "scan_id", "recto_verso").join(scan.select(F.col("id").alias("scan_id"), "filename"), "scan_id")
-    on = events.join(sides, "filename").groupBy("file", "document", "page_id").agg(F.min("row").alias("row"), F.first("recto_verso").alias("recto_verso"), F.first("part_of").alias("part_of"))
-    order = Window.partitionBy("document").orderBy("file", "row", F.when(F.col("recto_verso") == "Recto", 1).otherwise(2), "page_id")
+    on = events.join(sides, "filename").groupBy("file", "document", "page_id").agg(F.min("seq").alias("seq"), F.first("recto_verso").alias("recto_verso"))
+    order = Window.partitionBy("document").orderBy("file", "seq", F.when(F.col("recto_verso") == "Recto", 1).otherwise(2), "page_id")
     new = provenance.as_links(on.select("page_id", name_id(F.lit("segment"), "document").alias("document_id"), (F.row_number().over(order) - 1).alias("index")), "SEGMENTATION", "DEFINITIVE")
-    touched = links.join(new.select("document_id").distinct(), "document_id", "left_semi").select("page_id").union(new.select("page_id")).distinct()
-    strong = provenance.supersede(links.join(touched, "page_id", "left_semi"), touched, CONFIDENCE[0])
-    rest = links.join(touched, "page_id", "left_anti")
-    return {"new": new, "page2document": rest.unionByName(strong).unionByName(new)}
-
-
-def language_lists(scan: DataFrame) -> DataFrame:
-    return scan.select("id", languages("languages").alias("codes"))
-
-
-def ranges(document: DataFrame) -> DataFrame:
-    return document.where("folio_start is not null").select("id", "inventory_id", "folio_start", effective_end("folio_start", "folio_end").alias("folio_last"))
-
-
-def trimmed(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumns({c: blank_to_null(strip(c)) for c in columns})
+    left = provenance.supersede(links, new, CONFIDENCE[0])
+    left = provenance.supersede(left, new, CONFIDENCE[0], "document_id")
+    return {"new": new, "page2document": left.unionByName(new)}

@@ -127,6 +127,23 @@ def test_segment_file():
     }
 
 
+def test_segment_file_same_as_end_and_order():
+    """SAME AS links documents, not parts, and last; END closes only on a row with an identifier, as it is written."""
+    rows = [row(0, "a", "START", "D1", "START"), row(1, "b", "END"), row(2, "c", None, None, "END/START"), row(3, "d", "end", "D2"), row(4, "e", None, None, "START"), row(5, "a", "SAME AS d"), row(6, "f", "SAME AS a"), row(7, "g", "END", "D2", "END"), row(8, "h", None, None, "START"), row(9, "i", "SAME AS nowhere")]
+    got = segment_file(rows, "7")
+    part_of = {g[2]: g[3] for g in got if g[4] == "part"}
+    assert part_of == {"7-SUBDOC-0001": "D1", "7-SUBDOC-0002": "D1", "7-SUBDOC-0003": "D2", "7-SUBDOC-0004": None}
+    by_reference = [g[:3] for g in got if g[0] in (5, 6, 9) and g[4] == "document"]
+    assert by_reference == [(5, "a", "D2"), (6, "f", "D1")]
+    assert [g[:3] for g in got[-2:]] == by_reference
+
+
+def test_file_number_without_letters(spark):
+    rows = [("1053_-_Document_Segmentation.csv", 0, "scan", "START", "T", "START", None)]
+    got = segmentation_events(spark.createDataFrame(rows, "file string, row int, filename string, boundary string, identifier string, parts string, other string")).collect()
+    assert {r.document for r in got} == {"T", "1053-SUBDOC-0001"} and sorted(r.seq for r in got) == [0, 1]
+
+
 def test_segmentation_events_by_file(spark):
     rows = [("8697_x.csv", i, f"AR_8697_{i:04d}", "START" if i == 0 else "END" if i == 3 else None, "T" if i < 4 else None, "START" if i == 1 else None, None) for i in range(6)]
     got = segmentation_events(spark.createDataFrame(rows, "file string, row int, filename string, boundary string, identifier string, parts string, other string")).collect()

@@ -116,6 +116,19 @@ def test_validated_links_supersede(spark):
     assert {r.id for r in got["page2document"].collect()} & {"a", "b", "c"} == {"b", "c"}
 
 
+def test_validated_links_leave_other_documents_alone(spark):
+    """Weak links go from pages that the files link, and of documents that they name, wherever; not from pages such a document was on before."""
+    t = imported(spark)
+    pages = {(r.recto_verso or "S"): r.id for r in t["page"].collect()}
+    rows = spark.createDataFrame([("1_x.csv", 0, "AR_1_0001", "START", "T", None, None)], "file string, row int, filename string, boundary string, identifier string, parts string, other string")
+    links = "id string, page_id string, document_id string, index int, source string, confidence string"
+    first = stages.validated_links(rows, t["page"], t["scan"], spark.createDataFrame([], links))["new"]
+    mine = first.first().document_id
+    old = spark.createDataFrame([("weak", pages["S"], mine, 0, "X", "CANDIDATE"), ("signed", pages["S"], mine, 1, "X", "VALIDATED"), ("other", pages["S"], "E", 0, "X", "CANDIDATE")], links)
+    got = stages.validated_links(rows, t["page"], t["scan"], old)["page2document"]
+    assert {r.id for r in got.collect()} & {"weak", "signed", "other"} == {"signed", "other"}
+
+
 def test_stream_of_pages(spark, tmp_path):
     docs = spark.createDataFrame([("1", "d", 4, 6)], "inventory_id string, id string, folio_start int, folio_end int")
     spark.createDataFrame([("1", "p", "5"), ("1", "q", "9")], FOLIO_PAGE).write.parquet(str(tmp_path / "in"))
