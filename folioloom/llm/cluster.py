@@ -1,9 +1,9 @@
-"""What the corpus operators share on the Spark side: inputs, sizes, checkpoints and packed exchanges."""
+"""What the corpus operators share on the Spark side: inputs, sizes, settled tables and packed exchanges."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+__all__ = ["by_key", "buckets", "exchanged", "looked_up", "record", "restored", "schema_of", "settled", "shared_folder", "table", "text_bytes", "with_text"]
+
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..settling import settled, shared_folder
 from ..shipping import ship
 from .textarrays import trim
 
@@ -64,28 +65,6 @@ def buckets(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // BUCKET_TEXT + 1)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset and all run on this machine."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if found:
-        return found
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="folioloom-")
-    sc.setCheckpointDir(root)
-    return sc.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage is cut, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: A key is hot with more than one in so many of all rows, so there are fewer hot keys than this.
 HOT_KEYS = 1000
 
