@@ -450,6 +450,59 @@ def page_folio_sets(spark: SparkSession, sf: str) -> DataFrame:
     return A.pages(spark, sf).where("page_or_folio_number is not null").select("page_id", F.array_sort(F.array_distinct(folio_numbers("page_or_folio_number"))).alias("folios"))
 
 
+# -- records: the flat fields of their JSON ---------------------------------------------------------------------
+
+
+def _fields(rows: DataFrame, key: str, **paths: str) -> DataFrame:
+    return rows.select(F.col(key).alias("key"), *[F.get_json_object("json", p).alias(c) for c, p in paths.items()])
+
+
+@query("""
+SELECT filename AS key, 'urn:uuid:' || filename AS id, 'Scan ' || filename AS label, '' AS archive_id, filename AS own_id, '1000' AS height, 'pixels' AS unit, 'https://images.example/' || filename || '/full/max/0/default.jpg' AS image FROM arch_scan""")
+def scan_records(spark: SparkSession, sf: str) -> DataFrame:
+    from .linked_art import scans_jsonld
+
+    paths = {"id": "$.id", "label": "$._label", "archive_id": "$.identified_by[0].content", "own_id": "$.identified_by[1].content", "height": "$.dimension[0].value", "unit": "$.dimension[1].unit._label", "image": "$.access_point.id"}
+    return _fields(scans_jsonld(_tables(spark, sf)["scan"]), "id", **paths)
+
+
+@query("""
+SELECT page_id AS key, 'https://archive.example/document:' || page_id AS id, 'Page ' || coalesce(folio, substr(page_id, 1, 8)) AS label, coalesce(recto_verso, 'Page') AS side, 'Part Type' AS kind,
+ CASE scan_no % 3 WHEN 0 THEN 'Dutch' WHEN 1 THEN 'qqq' END AS language, CASE scan_no % 3 WHEN 0 THEN 'http://vocab.getty.edu/aat/300388256' END AS language_id, 'PageXML of ' || filename AS carried, 'Scan ' || filename AS shown FROM arch_page""")
+def page_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of scans in Dutch, in a language without an entry, or in none known."""
+    from .linked_art import pages_jsonld
+
+    t = _tables(spark, sf)
+    number = F.col("scan_no") % 3
+    spoken = A.scans(spark, sf).select(F.col("scan_id").alias("id"), F.when(number == 0, "nld,NLD").when(number == 1, "qqq").otherwise("unknown").alias("languages"))
+    paths = {"id": "$.id", "label": "$._label", "side": "$.classified_as[0]._label", "kind": "$.classified_as[0].classified_as[0]._label", "language": "$.carries.language[0]._label", "language_id": "$.carries.language[0].id", "carried": "$.carries.digitally_carried_by._label", "shown": "$.shows.digitally_shown_by._label"}
+    return _fields(pages_jsonld(t["page"], t["scan"].join(spoken, "id")), "id", **paths)
+
+
+@query("""
+SELECT 'g' || CAST(n_nationkey AS VARCHAR) AS key, 'https://archive.example/place:g' || CAST(n_nationkey AS VARCHAR) AS id, coalesce(min(trim(s_name)), 'g' || CAST(n_nationkey AS VARCHAR)) AS label, CAST(nullif(count(DISTINCT s_name), 0) AS VARCHAR) AS names
+ FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal >= 6000 GROUP BY n_nationkey""", view=False)
+def place_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as settlements, and their suppliers with much on account as labels, twice."""
+    from .linked_art import places_jsonld
+
+    places = A.read(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit("g"), "n_nationkey").alias("glob_id"))
+    labels = A.read(spark, sf, "supplier").where("s_acctbal >= 6000").select(F.col("s_name").alias("id"), F.concat(F.lit(" "), "s_name").alias("label"), F.col("s_nationkey").cast("string").alias("settlement_id"))
+    got = places_jsonld(places, labels.unionByName(labels))
+    names = F.size(F.from_json(F.get_json_object("json", "$.identified_by"), "array<struct<content:string>>"))
+    return got.select(F.col("glob_id").alias("key"), F.get_json_object("json", "$.id").alias("id"), F.get_json_object("json", "$._label").alias("label"), F.when(names > 0, names.cast("string")).alias("names"))
+
+
+@query(_view(_SERIES, """SELECT s.id AS key, 'https://archive.example/series:' || s.id AS id, s.title AS label, s.title AS name, CASE WHEN s.part_of_id IS NULL THEN 'Archival Grouping' ELSE 'Archival Subseries (subgroups)' END AS kind,
+ 'https://archive.example/series:' || u.id AS member_of, u.title AS member_label FROM series s LEFT JOIN series u ON u.id = s.part_of_id"""))
+def series_records(spark: SparkSession, sf: str) -> DataFrame:
+    from .linked_art import series_jsonld
+
+    paths = {"id": "$.id", "label": "$._label", "name": "$.identified_by[0].content", "kind": "$.classified_as[0]._label", "member_of": "$.member_of[0].id", "member_label": "$.member_of[0]._label"}
+    return _fields(series_jsonld(_series(spark, sf)), "id", **paths)
+
+
 # -- nested exports and token rows: tests hold them against literal versions -------------------------------------
 
 

@@ -1,0 +1,38 @@
+from __future__ import annotations
+
+import json
+
+from folioloom.plans import linked_art
+
+
+def records(df):
+    return {r[0]: json.loads(r.json) for r in df.collect()}
+
+
+SCAN = "id string, filename string, na_identifier string, iiif_image_info string, height int, width int, languages string"
+
+
+def test_pages_with_their_scan_and_languages(spark):
+    scan = spark.createDataFrame([("s", "AR_1_0001", None, "https://i.example/x/info.json", 10, 20, "nld, ,LZH,nld,unknown,zzz")], SCAN)
+    page = spark.createDataFrame([("p1", "12r", "Recto", "s"), ("p2-long-identifier", None, None, "gone")], "id string, page_or_folio_number string, recto_verso string, scan_id string")
+    got = records(linked_art.pages_jsonld(page, scan))
+    spoken = got["p1"]["carries"]["language"]
+    assert [(x["_label"], x["id"]) for x in spoken] == [("Dutch", "http://vocab.getty.edu/aat/300388256"), ("Literary Chinese", None), ("zzz", None)]
+    assert got["p1"]["shows"]["digitally_shown_by"]["access_point"]["id"] == "https://i.example/x/full/max/0/default.jpg"
+    assert [d["value"] for d in got["p1"]["shows"]["digitally_shown_by"]["dimension"]] == [10, 20]
+    other = got["p2-long-identifier"]
+    assert (other["_label"], other["classified_as"][0]["_label"], other["carries"]["language"], other["shows"]["digitally_shown_by"]) == ("Page p2-long-", "Page", None, None)
+    assert other["carries"]["digitally_carried_by"]["_label"] == "PageXML of unknown scan"
+    assert records(linked_art.scans_jsonld(scan))["s"] == got["p1"]["shows"]["digitally_shown_by"]
+
+
+def test_places_and_series(spark):
+    places = spark.createDataFrame([("1", "g1"), ("2", "g2")], "id string, glob_id string")
+    labels = spark.createDataFrame([("b", " Batavia", "1"), ("a", "Jakarta", "1"), ("c", "Batavia ", "1"), ("d", " ", "2")], "id string, label string, settlement_id string")
+    got = records(linked_art.places_jsonld(places, labels))
+    assert got["g1"]["_label"] == "Jakarta" and [n["content"] for n in got["g1"]["identified_by"]] == ["Jakarta", "Batavia"]
+    assert got["g2"] == {"type": "Place", "_label": "g2", "id": "https://archive.example/place:g2"}
+    series = spark.createDataFrame([("1", "Letters", None), ("2", "Copies", "1")], "id string, title string, part_of_id string")
+    made = records(linked_art.series_jsonld(series))
+    assert "member_of" not in made["1"] and made["2"]["member_of"] == [{"id": "https://archive.example/series:1", "type": "Set", "_label": "Letters"}]
+    assert [made[k]["classified_as"][0]["_label"] for k in "12"] == ["Archival Grouping", "Archival Subseries (subgroups)"]
