@@ -67,14 +67,23 @@ def scan_gaps(scans: DataFrame, scan_documents: DataFrame) -> DataFrame:
     and the document sets before and after (null at an end of the inventory).
     """
     sets = scan_documents.groupBy("scan_id").agg(F.array_sort(F.collect_set("document_id")).alias("docs"))
+    return _gaps(scans.join(sets, "scan_id", "left"))
+
+
+def _gaps(scans: DataFrame, *more: str) -> DataFrame:
+    """The scans whose `docs` are null, with what is around them and the columns `more`."""
     order = Window.partitionBy("inventory_id").orderBy(F.asc_nulls_last("scan_order"), "filename", "scan_id")
-    placed = scans.join(sets, "scan_id", "left").withColumn("_pos", F.row_number().over(order))
-    w = Window.partitionBy("inventory_id").orderBy("_pos")
+    placed = scans.withColumn("_pos", F.row_number().over(order))
     here = F.when(F.col("docs").isNotNull(), F.struct("_pos", "docs"))
-    around = placed.withColumn("_prev", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_next", F.first(here, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+
+    def nearest(order: Column) -> Column:
+        # A frame that only grows costs one step a row; one that shrinks is read anew for each.
+        return F.last(here, ignorenulls=True).over(Window.partitionBy("inventory_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+    around = placed.withColumn("_prev", nearest(F.asc("_pos"))).withColumn("_next", nearest(F.desc("_pos")))
     last = F.max("_pos").over(Window.partitionBy("inventory_id"))
     gap = F.coalesce(F.col("_next._pos"), last + 1) - F.coalesce(F.col("_prev._pos"), F.lit(0)) - 1
-    return around.withColumn("gap", gap.cast("int")).where("docs is null").select("inventory_id", "scan_id", "filename", "gap", F.col("_prev.docs").alias("left_docs"), F.col("_next.docs").alias("right_docs"), F.col("_prev._pos").alias("left_pos"))
+    return around.withColumn("gap", gap.cast("int")).where("docs is null").select("inventory_id", "scan_id", "filename", "gap", F.col("_prev.docs").alias("left_docs"), F.col("_next.docs").alias("right_docs"), F.col("_prev._pos").alias("left_pos"), *more)
 
 
 def gap_reason(max_gap: int) -> Column:
@@ -94,12 +103,15 @@ def gap_links(scans: DataFrame, pages: DataFrame, links: DataFrame, trusted: lis
     links: page_id, document_id, index, source. index is one more than the
     page's largest, of any document, or 0.
     """
-    on_scan = links.where(F.col("source").isin(trusted)).join(pages.select("page_id", "scan_id"), "page_id").select("scan_id", "document_id").distinct()
-    filled = scan_gaps(scans, on_scan).where(gap_reason(max_gap) == "filled").select("scan_id", F.col("left_docs")[0].alias("document_id"))
-    wanted = pages.select("page_id", "scan_id").join(filled, "scan_id").select("page_id", "document_id")
-    fresh = wanted.join(links.select("page_id", "document_id"), ["page_id", "document_id"], "left_anti")
-    top = links.groupBy("page_id").agg(F.max("index").alias("_top"))
-    return fresh.join(top, "page_id", "left").select("page_id", "document_id", F.coalesce(F.col("_top") + 1, F.lit(0)).alias("index"))
+    mine = F.when(F.col("source").isin(trusted), F.col("document_id"))
+    per_page = links.groupBy("page_id").agg(F.max("index").alias("top"), F.collect_set("document_id").alias("all"), F.collect_set(mine).alias("trusted"))
+    # The links of a page, and the pages of a scan, come along in one row, so links are made and exchanged once.
+    on_scan = pages.select("page_id", "scan_id").join(per_page, "page_id", "left").groupBy("scan_id")
+    sets = on_scan.agg(F.collect_list(F.struct("page_id", "top", "all")).alias("_pages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("trusted")))).alias("docs"))
+    held = scans.join(sets.withColumn("docs", F.when(F.size("docs") > 0, F.col("docs"))), "scan_id", "left")
+    filled = _gaps(held, "_pages").where(gap_reason(max_gap) == "filled").select(F.col("left_docs")[0].alias("document_id"), F.explode("_pages").alias("p"))
+    fresh = filled.where(~F.array_contains(F.coalesce("p.all", F.array().cast("array<string>")), F.col("document_id")))
+    return fresh.select("p.page_id", "document_id", F.coalesce(F.col("p.top") + 1, F.lit(0)).alias("index"))
 
 
 def repeated_runs(scans: DataFrame, pages: DataFrame, max_repeat: int = 3) -> DataFrame:
@@ -114,9 +126,8 @@ def repeated_runs(scans: DataFrame, pages: DataFrame, max_repeat: int = 3) -> Da
     at = found.join(placed.select("scan_id", "inventory_id", "_pos"), "scan_id")
     value = Window.partitionBy("inventory_id", "folio")
     islands = at.withColumn("_island", F.col("_pos") - F.row_number().over(value.orderBy("_pos")))
-    run = Window.partitionBy("inventory_id", "folio", "_island")
-    sized = islands.withColumn("length", F.count("*").over(run)).withColumn("start_pos", F.min("_pos").over(run)).withColumn("end_pos", F.max("_pos").over(run))
-    return sized.where(F.col("length") > max_repeat).select("inventory_id", "folio", "start_pos", "end_pos", F.col("length").cast("int").alias("length"), "scan_id")
+    sized = islands.groupBy("inventory_id", "folio", "_island").agg(F.min("_pos").alias("start_pos"), F.max("_pos").alias("end_pos"), F.count("*").cast("int").alias("length"), F.collect_list("scan_id").alias("scans"))
+    return sized.where(F.col("length") > max_repeat).select("inventory_id", "folio", "start_pos", "end_pos", "length", F.explode("scans").alias("scan_id"))
 
 
 def misplaced_links(runs: DataFrame, pages: DataFrame, documents: DataFrame, links: DataFrame, source: str = "FOLIO_RANGE") -> DataFrame:

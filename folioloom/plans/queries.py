@@ -99,8 +99,9 @@ def _view(more: str, select: str) -> str:
 
 @query(_view(_GAPS, 'SELECT p.page_id, g.prev.doc AS document_id, CAST(coalesce((SELECT max("index") FROM arch_link l WHERE l.page_id = p.page_id) + 1, 0) AS INTEGER) AS "index" FROM gap g JOIN arch_page p USING (filename) WHERE reason = \'filled\''))
 def gap_interpolation(spark: SparkSession, sf: str) -> DataFrame:
-    links = provenance.as_links(_links(spark, sf), "FOLIO_RANGE", "FOLIO_RANGE")
-    return sequences.gap_links(A.scans(spark, sf), A.pages(spark, sf), links, ["FOLIO_RANGE"], 3)
+    pages = settled(A.pages(spark, sf).select("inventory_id", "page_id", "scan_id", "filename", "scan_order", "page_or_folio_number"))
+    links = provenance.as_links(sequences.folio_links(pages, A.documents(spark, sf)), "FOLIO_RANGE", "FOLIO_RANGE")
+    return sequences.gap_links(pages.select("inventory_id", "scan_id", "filename", "scan_order").distinct(), pages, links, ["FOLIO_RANGE"], 3)
 
 
 @query(_view(_GAPS, "SELECT inventory_id, reason, count(*) AS scans FROM gap GROUP BY 1, 2"))
@@ -127,9 +128,9 @@ def suspect_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_view(_RUNS, 'SELECT DISTINCT l.page_id, l.document_id FROM arch_link l JOIN arch_page p USING (page_id) JOIN arch_document d ON d.id = l.document_id JOIN suspect s ON s.filename = p.filename AND s.folio BETWEEN d.folio_start AND coalesce(d.folio_end, d.folio_start)'))
 def repeated_run_removal(spark: SparkSession, sf: str) -> DataFrame:
-    pages = A.pages(spark, sf)
-    runs = sequences.repeated_runs(A.scans(spark, sf), pages, 3)
-    return sequences.misplaced_links(runs, pages, A.documents(spark, sf), _links(spark, sf).withColumn("source", F.lit("FOLIO_RANGE")))
+    pages, documents = settled(A.pages(spark, sf).select("inventory_id", "page_id", "scan_id", "filename", "scan_order", "recto_verso", "page_or_folio_number")), A.documents(spark, sf)
+    runs = sequences.repeated_runs(pages.select("inventory_id", "scan_id", "filename", "scan_order").distinct(), pages, 3)
+    return sequences.misplaced_links(runs, pages, documents, sequences.folio_links(pages, documents).withColumn("source", F.lit("FOLIO_RANGE")))
 
 
 @query()
