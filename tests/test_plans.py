@@ -89,6 +89,32 @@ def test_baseline_titles_and_manifest(spark, tmp_path):
     assert [i["label"]["en"][0] for i in both["items"]] == ["Inventory 1", "Inventory 2"]
 
 
+def test_ranges_are_nested(spark):
+    def rows(name, *values):
+        schema = snapshots.SCHEMAS[name]
+        return spark.createDataFrame([tuple(v.get(c) for c in schema.names) for v in values], schema)
+
+    inventory = rows("inventory", {"id": "i", "inventory_number": "7"}, {"id": "j", "inventory_number": "8"})
+    scan = rows("scan", *[{"id": f"s{n}", "filename": f"f{n}", "inventory_id": "i", "iiif_image_info": f"http://x/{n}/info.json", "height": 2, "width": 1} for n in range(3)])
+    page = rows("page", *[{"id": f"p{n}", "scan_id": f"s{n // 2}", "inventory_id": "i"} for n in range(6)])
+    document = rows("document", {"id": "whole-document", "inventory_id": "i", "title": 'A "title"', "date_text": "May"}, {"id": "part-one", "inventory_id": "i", "part_of_id": "whole-document"}, {"id": "part-two", "inventory_id": "i", "part_of_id": "whole-document", "date_latest_end": dt.date(1700, 1, 2)}, {"id": "unlinked", "inventory_id": "i"})
+    link = rows("page2document", *[{"page_id": f"p{n}", "document_id": d, "index": i} for d, n, i in [("whole-document", 0, 0), ("part-one", 5, 4), ("part-one", 0, 5), ("part-one", 1, 6), ("part-two", 2, 1)]])
+    types = spark.createDataFrame([("part-one", "Letter")], "document_id string, label string")
+    ids = spark.createDataFrame([("part-one", "tanap", "T1"), ("part-one", "OTHER", "o1"), ("part-one", None, "x")], "document_id string, context string, identifier string")
+    made = {r.inventory_number: json.loads(r.json) for r in exports.manifests(inventory, scan, page, document, link, types=types, identifiers=ids).collect()}
+    assert "structures" not in made["8"] and "thumbnail" not in made["8"]
+    assert made["7"]["thumbnail"][0]["id"] == "http://x/0/full/982,/0/default.jpg" and made["7"]["thumbnail"][0]["service"][0]["@id"] == "http://x/0"
+    (top,) = made["7"]["structures"]
+    whole, other = top["items"]
+    assert whole["id"].endswith("/range/doc-0-whole-do") and whole["label"] == {"en": ['A "title"']} and other["label"] == {"en": ["Document unlinked"]} and other["items"] == []
+    two, one = whole["items"]
+    assert two["id"].endswith("/range/doc-doc-0-whole-do-sub0-part-two") and [c["id"].rsplit(":", 1)[1] for c in one["items"]] == ["f2", "f0"]
+    said = [(m["label"]["en"][0], *m["value"].values()) for m in one["metadata"]]
+    assert said == [("Type", ["Letter"]), ("Inventory number", ["7"]), ("OTHER ID", ["o1"]), ("TANAP-id", ["T1"]), ("Identifier", ["part-one"])]
+    assert [(m["label"]["en"][0], m["value"]) for m in whole["metadata"]][:2] == [("Title", {"en": ['A "title"']}), ("Date", {"none": ["May"]})]
+    assert two["metadata"][0]["value"] == {"none": ["1700-01-02"]} and one["seeAlso"][0]["id"].endswith("document:part-one")
+
+
 def test_catalogue_and_letters(spark):
     t = imported(spark)
     labels = spark.createDataFrame([("Batavia", "s1", 0), ("batavia ", "s2", 1)], "label string, settlement_id string, seq int")
