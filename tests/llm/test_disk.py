@@ -1,4 +1,4 @@
-"""What the n-gram join leaves on disk and sends through an exchange."""
+"""What the n-gram join and the stage of the pipeline on it leave on disk and send through an exchange."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from folioloom.llm import cluster, jaccard_join
 
 
@@ -37,9 +38,13 @@ def mostly_different(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-def test_texts_without_a_partner_do_not_travel(spark, mostly_different):
+@pytest.mark.parametrize("stage", ["op1", "pipeline"])
+def test_texts_without_a_partner_do_not_travel(spark, mostly_different, stage):
     before, text = shuffled(spark), sum(len(t) for _, t in copied())
-    got = {r.component_id for r in jaccard_join.jaccard_components(mostly_different).collect()}
+    if stage == "op1":
+        got = {r.component_id for r in jaccard_join.jaccard_components(mostly_different).collect()}
+    else:
+        got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, mostly_different, "").collect()}
     assert got == set(range(1500))
     assert shuffled(spark) - before < 0.6 * text
 
@@ -82,3 +87,15 @@ def test_suspected_rows(spark, monkeypatch, words):
     assert sorted(map(str, one + two)) == sorted(map(str, rows))
     assert {r for r in rows if r[:2] in {(5, "t1"), (None, "t1"), (None, None)}} <= set(one)
     assert words == 1 or len(one) < 20
+
+
+def test_a_copy_is_dropped_whether_suspected_or_not(spark, monkeypatch):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, a), (1, a + " more of it"), (2, a), (None, a), (None, b), (None, b), (3, "c d e"), (None, ""), (None, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = []
+    for words in (1 << 18, 1):
+        monkeypatch.setattr(cluster, "BIT_WORDS", words)
+        found.append(sorted(str(tuple(r)) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()))
+    assert found[0] == found[1]
+    assert len(found[0]) == 6
