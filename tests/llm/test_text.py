@@ -72,6 +72,32 @@ def test_bpe_like_the_library(library, corpus):
         assert own.decode(own.encode(t)) == decoded
 
 
+def test_bpe_reads_words_together(library, monkeypatch):
+    """Words of ordinary length are read together, each once for a run of texts; long ones alone, with the same tokens."""
+    definition = open(bpe.vocabulary_path(), encoding="utf-8").read()
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeinrstöß'", k=rng.randrange(1, 20))) for _ in range(400)] + [c * n for c in "aé中" for n in (1, 20, 21, 31, 32, 33, 63, 64)]
+    texts = [" ".join(rng.choices(words, k=50)) for _ in range(40)]
+    texts += ["a \x85\u3000 b\x1cc  d\n\te", "<|ENDOFTEXT|> <|endoftext|><|endoftext|>", "", "  "]
+    want = [(" ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False)) for e in library.encode_batch(texts, add_special_tokens=False)]
+    own = bpe.Tokenizer(definition)
+    with monkeypatch.context() as m:
+        m.setattr(bpe.Tokenizer, "ranks", None)
+        m.setattr(bpe, "BLOCK_WORDS", 7)
+        short = [t for t in texts if max(map(len, t.encode().split()), default=0) <= bpe.LONG_WORD]
+        assert list(own.all(short)) == [w for t, w in zip(texts, want, strict=True) if t in short]
+    asked = []
+    read = own.words
+    monkeypatch.setattr(own, "words", lambda w: asked.extend(w) or read(w))
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    own.memo, own.old = {}, {}
+    assert list(own.all(texts)) == want and len(asked) == len(set(asked))
+    assert [own.both(t) for t in texts] == want and len(own.memo) < 10 and len(own.old) < 10
+    long = bpe.Tokenizer(definition)
+    monkeypatch.setattr(bpe, "LONG_WORD", 0)
+    assert list(long.all(texts)) == want
+
+
 def test_bpe_rows(documents, corpus, library):
     got = bpe.bpe_encode(documents)
     texts = dict(corpus)
