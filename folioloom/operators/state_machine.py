@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..shipping import ship
+from .grouped import solve_groups
 
-SCHEMA = "file string, row int, filename string, document string, part_of string, kind string, seq int"
+SCHEMA = T.StructType().add("file", "string").add("row", "integer").add("filename", "string").add("document", "string").add("part_of", "string").add("kind", "string").add("seq", "integer")
+_COLUMNS = ("row", "filename", "boundary", "identifier", "parts", "other")
 _SAME = re.compile(r"^\s*SAME\s+AS\s+(.+?)\s*$", re.IGNORECASE)
 
 
@@ -70,25 +72,25 @@ def segment_file(rows: list[dict], inventory: str) -> list[tuple[int, str, str,
         of_scan.setdefault(scan, []).extend(m for m in mine if m[2] == "document")
         if not other:
             out += [(r["row"], scan, *m) for m in mine]
+    have = {(s, d) for _, s, d, _, _ in out} if waiting else set()
     for row, scan, source, other in waiting:
         if not other:
-            have = {(s, d) for _, s, d, _, _ in out}
-            out += [(row, scan, *m) for m in dict.fromkeys(of_scan.get(source, [])) if (scan, m[0]) not in have]
+            new = [(row, scan, *m) for m in dict.fromkeys(of_scan.get(source, [])) if (scan, m[0]) not in have]
+            have.update((scan, n[2]) for n in new)
+            out += new
     return out
 
 
 def segmentation_events(rows: DataFrame) -> DataFrame:
     """Links of all files, `seq` being their order in a file. rows: file, row, filename, boundary, identifier, parts, other."""
-    ship(rows.sparkSession)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row", kind="stable")
-        file = pdf["file"].iloc[0]
-        names = [p.rsplit("_", 2) for p in pdf["filename"] if isinstance(p, str)]
+    def solve(group: dict[str, list]) -> list[tuple]:
+        file = group["file"][0]
+        names = (p.rsplit("_", 2) for p in group["filename"] if p is not None)
         from_rows = next((p[1] for p in names if len(p) == 3 and p[2].isdigit()), None)
         from_file = re.match(r"\d+", file or "")
         inventory = from_rows or (from_file[0] if from_file else "0")
-        got = segment_file(pdf.to_dict("records"), inventory)
-        return pd.DataFrame([(file, *g, i) for i, g in enumerate(got)], columns=["file", "row", "filename", "document", "part_of", "kind", "seq"])
+        lines = [dict(zip(_COLUMNS, r, strict=True)) for r in zip(*(group[c] for c in _COLUMNS), strict=True)]
+        return [(file, *g, i) for i, g in enumerate(segment_file(lines, inventory))]
 
-    return rows.groupBy("file").applyInPandas(solve, SCHEMA)
+    return solve_groups(rows.select("file", *_COLUMNS), "file", [F.asc_nulls_last("row")], solve, SCHEMA)
