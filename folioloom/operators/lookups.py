@@ -17,9 +17,12 @@ def lookup_last(rows: DataFrame, key: str, table: DataFrame, table_key: str, val
 
 def file_lookup(rows: DataFrame, filename: str, scans: DataFrame) -> DataFrame:
     """rows with the scan (`scan_id`) of a file name: the exact one, else the one with its number padded."""
-    by_name = scans.groupBy(F.col("filename").alias("_f")).agg(F.min("scan_id").alias("_s"))
+    # File names hardly repeat, so they are exchanged as they are and sorted once, not before the exchange too.
+    by_name = scans.select(F.col("filename").alias("_f"), "scan_id").repartition("_f").groupBy("_f").agg(F.min("scan_id").alias("_s"))
     exact = rows.join(by_name, F.col(filename) == F.col("_f"), "left").withColumnRenamed("_s", "_exact").drop("_f")
-    padded = exact.join(by_name, padded_filename(filename) == F.col("_f"), "left").withColumnRenamed("_s", "_padded").drop("_f")
+    # The padded name is a column of its own: as an expression of the join it is made anew in each comparison of the sort.
+    wanted = exact.withColumn("_name", F.when(F.col("_exact").isNull(), padded_filename(filename)))
+    padded = wanted.join(by_name, F.col("_name") == F.col("_f"), "left").withColumnRenamed("_s", "_padded").drop("_f", "_name")
     return padded.withColumn("scan_id", F.coalesce("_exact", "_padded")).drop("_exact", "_padded")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from folioloom.operators import state_machine
+from folioloom.operators import lookups, state_machine
 from tests.test_operators import row
 
 
@@ -31,3 +31,13 @@ def test_small_files_are_read_together(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want = {(f, *g, i) for f, rs in rows.items() for i, g in enumerate(state_machine.segment_file(rs, "1"))}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_padded_names_are_made_once(spark):
+    """The join's keys are columns: an expression is made anew in each comparison of its sort."""
+    scans = spark.createDataFrame([("1", "AR_1_0007"), ("2", "AR_1_7"), ("0", "AR_1_7"), ("3", "AR_1_12345"), ("4", None)], "scan_id string, filename string")
+    rows = spark.createDataFrame([("AR_1_7",), ("AR_1_07",), ("AR_1_07",), ("AR_1_012345",), ("AR_1_99999999999",), ("x",), (None,)], "name string")
+    found = lookups.file_lookup(rows.hint("merge"), "name", scans.hint("merge"))
+    joins = [line for line in plan(found).split("== Physical Plan ==")[1].splitlines() if "Join [" in line]
+    assert len(joins) == 2 and not any("CASE WHEN" in line for line in joins)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("AR_1_7", "0"), ("AR_1_07", "1"), ("AR_1_07", "1"), ("AR_1_012345", "3"), ("AR_1_99999999999", None), ("x", None), (None, None)]))
