@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import image_url, languages
+from ..functions.jsontext import Raw, json_text, number
 from .exports import LINKED_ART, Publisher, _json
 
 #: Fixed values of the output: identifiers of a public vocabulary.
@@ -52,8 +55,12 @@ def _null(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-def _type(entry: tuple[str, str], kind: str = "Type") -> Column:
-    return F.struct(F.lit(AAT + entry[0]).alias("id"), F.lit(kind).alias("type"), F.lit(entry[1]).alias("_label"))
+def _kind(entry: tuple[str, str], kind: str = "Type") -> dict:
+    return {"id": AAT + entry[0], "type": kind, "_label": entry[1]}
+
+
+def _type(entry: tuple[str, str]) -> Column:
+    return F.struct(*[F.lit(v).alias(k) for k, v in _kind(entry).items()])
 
 
 def language_objects(codes: Column) -> Column:
@@ -64,36 +71,36 @@ def language_objects(codes: Column) -> Column:
     return F.transform(languages(codes), lambda c: F.struct(F.lit("Language").alias("type"), F.coalesce(F.try_element_at(label, c), c).alias("_label"), F.try_element_at(uri, c).alias("id")))
 
 
-def _scan(c: str = "") -> Column:
+def _scan(c: str = "") -> dict:
     """The record of a scan from its columns, which may be fields of a struct."""
 
     def col(name: str) -> Column:
         return F.col(f"{c}{name}")
 
-    def identifier(content: Column) -> Column:
-        return F.struct(F.lit("Identifier").alias("type"), _null().alias("classified_as"), content.alias("content"))
+    def identifier(content: Column) -> dict:
+        return {"type": "Identifier", "classified_as": None, "content": content}
 
-    def dimension(entry: tuple[str, str], value: Column) -> Column:
-        return F.struct(F.lit("Dimension").alias("type"), _type(entry).alias("classified_as"), value.alias("value"), _type(PIXELS, "MeasurementUnit").alias("unit"))
+    def dimension(entry: tuple[str, str], value: Column) -> dict:
+        return {"type": "Dimension", "classified_as": _kind(entry), "value": Raw(number(value)), "unit": _kind(PIXELS, "MeasurementUnit")}
 
-    return F.struct(
-        F.lit(LINKED_ART).alias("@context"),
-        F.concat(F.lit("urn:uuid:"), col("id")).alias("id"),
-        F.lit("DigitalObject").alias("type"),
-        F.concat(F.lit("Scan "), col("filename")).alias("_label"),
-        F.array(_type(DIGITIZED_IMAGE)).alias("classified_as"),
-        F.array(identifier(F.coalesce(col("na_identifier"), F.lit(""))), identifier(col("id"))).alias("identified_by"),
-        F.array(dimension(HEIGHT, col("height")), dimension(WIDTH, col("width"))).alias("dimension"),
-        F.struct(F.coalesce(image_url(f"{c}iiif_image_info", "max"), F.lit("")).alias("id"), F.lit("DigitalObject").alias("type")).alias("access_point"),
-        F.lit("image/jpeg").alias("format"),
-        _null().alias("digitally_carries"),
-        _null().alias("digitally_shows"),
-    )
+    return {
+        "@context": LINKED_ART,
+        "id": F.concat(F.lit("urn:uuid:"), col("id")),
+        "type": "DigitalObject",
+        "_label": F.concat(F.lit("Scan "), col("filename")),
+        "classified_as": [_kind(DIGITIZED_IMAGE)],
+        "identified_by": [identifier(F.coalesce(col("na_identifier"), F.lit(""))), identifier(col("id"))],
+        "dimension": [dimension(HEIGHT, col("height")), dimension(WIDTH, col("width"))],
+        "access_point": {"id": F.coalesce(image_url(f"{c}iiif_image_info", "max"), F.lit("")), "type": "DigitalObject"},
+        "format": "image/jpeg",
+        "digitally_carries": None,
+        "digitally_shows": None,
+    }
 
 
 def scans_jsonld(scan: DataFrame) -> DataFrame:
     """(id, json) of each scan."""
-    return scan.select("id", _json(_scan()).alias("json"))
+    return scan.select("id", json_text(_scan()).alias("json"))
 
 
 def pages_jsonld(page: DataFrame, scan: DataFrame, by: Publisher | None = None) -> DataFrame:
@@ -101,20 +108,24 @@ def pages_jsonld(page: DataFrame, scan: DataFrame, by: Publisher | None = None)
     by = by or Publisher()
     s = scan.select(F.col("id").alias("scan_id"), F.struct(*scan.columns).alias("s"))
     p = page.join(s, "scan_id", "left")
-    side = F.when(F.col("recto_verso") == "Recto", _type(RECTO)).when(F.col("recto_verso") == "Verso", _type(VERSO)).otherwise(_type(PART))
-    kind = F.struct(side["id"].alias("id"), side["type"].alias("type"), side["_label"].alias("_label"), F.array(_type(PART_TYPE)).alias("classified_as"))
-    spoken = language_objects(F.col("s.languages")) if "languages" in scan.columns else _null("array<string>")
-    carried = F.struct(F.lit("").alias("id"), F.lit("DigitalObject").alias("type"), F.concat(F.lit("PageXML of "), F.coalesce("s.filename", F.lit("unknown scan"))).alias("_label"))
-    fields = [
-        F.lit(LINKED_ART).alias("@context"),
-        by.uri("document", F.col("id")).alias("id"),
-        F.lit("PhysicalHumanMadeThing").alias("type"),
-        F.concat(F.lit("Page "), F.coalesce(F.nullif("page_or_folio_number", F.lit("")), F.substring("id", 1, 8))).alias("_label"),
-        F.array(kind).alias("classified_as"),
-        F.struct(_null().alias("id"), F.lit("LinguisticObject").alias("type"), F.lit("Textual content of the page").alias("_label"), F.when(F.size(spoken) > 0, spoken).alias("language"), carried.alias("digitally_carried_by")).alias("carries"),
-        F.struct(_null().alias("id"), F.lit("VisualItem").alias("type"), F.lit("Visual depiction of the page.").alias("_label"), F.when(F.col("s").isNotNull(), _scan("s.")).alias("digitally_shown_by")).alias("shows"),
-    ]
-    return p.select("id", _json(F.struct(*fields)).alias("json"))
+
+    def side(entry: tuple[str, str]) -> str:
+        return json.dumps(_kind(entry) | {"classified_as": [_kind(PART_TYPE)]}, separators=(",", ":"))
+
+    kind = F.when(F.col("recto_verso") == "Recto", side(RECTO)).when(F.col("recto_verso") == "Verso", side(VERSO)).otherwise(side(PART))
+    codes = F.col("s.languages") if "languages" in scan.columns else _null()
+    spoken = F.when(codes.isNotNull() & (F.size(languages(codes)) > 0), _json(language_objects(codes))).otherwise("null")
+    carried = {"id": "", "type": "DigitalObject", "_label": F.concat(F.lit("PageXML of "), F.coalesce("s.filename", F.lit("unknown scan")))}
+    record = {
+        "@context": LINKED_ART,
+        "id": by.uri("document", F.col("id")),
+        "type": "PhysicalHumanMadeThing",
+        "_label": F.concat(F.lit("Page "), F.coalesce(F.nullif("page_or_folio_number", F.lit("")), F.substring("id", 1, 8))),
+        "classified_as": [Raw(kind)],
+        "carries": {"id": None, "type": "LinguisticObject", "_label": "Textual content of the page", "language": Raw(spoken), "digitally_carried_by": carried},
+        "shows": {"id": None, "type": "VisualItem", "_label": "Visual depiction of the page.", "digitally_shown_by": Raw(F.when(F.col("s").isNotNull(), json_text(_scan("s."))).otherwise("null"))},
+    }
+    return p.select("id", json_text(record).alias("json"))
 
 
 def places_jsonld(settlement: DataFrame, label: DataFrame, by: Publisher | None = None) -> DataFrame:

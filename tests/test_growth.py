@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 from folioloom.operators import lookups, state_machine
+from folioloom.plans import linked_art, queries
 from tests.test_operators import row
 
 
@@ -41,3 +43,23 @@ def test_padded_names_are_made_once(spark):
     joins = [line for line in plan(found).split("== Physical Plan ==")[1].splitlines() if "Join [" in line]
     assert len(joins) == 2 and not any("CASE WHEN" in line for line in joins)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("AR_1_7", "0"), ("AR_1_07", "1"), ("AR_1_07", "1"), ("AR_1_012345", "3"), ("AR_1_99999999999", None), ("x", None), (None, None)]))
+
+
+def test_records_are_text_and_read_once(spark):
+    """A record is put together from text, escaped where it must be, and a query reads its JSON once for all fields."""
+    odd = ['a "b" \\ c', "tab\tend\n\x01", "ünï 💡", "", None]
+    scan = spark.createDataFrame([(str(i), t, t, f"http://x/{t}/info.json", None if t == "" else i, 2, "nld") for i, t in enumerate(odd)], "id string, filename string, na_identifier string, iiif_image_info string, height int, width int, languages string")
+    page = spark.createDataFrame([(f"p{t}", str(i), t, "Recto") for i, t in enumerate(odd)] + [("lone", "x", "1", None)], "id string, scan_id string, page_or_folio_number string, recto_verso string")
+    made = linked_art.pages_jsonld(page, scan)
+    assert "to_json(struct(@context" not in plan(made)
+    got = {r.id: json.loads(r.json) for r in made.collect()}
+    for i, t in enumerate(odd[:4]):
+        record = got[f"p{t}"]
+        assert record["id"].endswith(f":p{t}") and record["_label"] == f"Page {t or 'p'}" and record["carries"]["language"][0]["_label"] == "Dutch"
+        shown = record["shows"]["digitally_shown_by"]
+        assert shown["_label"] == f"Scan {t}" and shown["identified_by"][0]["content"] == t and [d["value"] for d in shown["dimension"]] == [None if t == "" else i, 2]
+    assert got["lone"]["shows"]["digitally_shown_by"] is None and got["lone"]["carries"]["language"] is None
+    fields = queries._fields(made, "id", number="$.shows.digitally_shown_by.dimension[1].value", kind="$.classified_as[0].classified_as[0]._label", none="$.carries.language[3].id", own="$.shows.digitally_shown_by.identified_by[1].content")
+    physical = plan(fields).split("== Physical Plan ==")[1]
+    assert physical.count("from_json(") == 1 and "get_json_object" not in physical
+    assert {tuple(r) for r in fields.where("key = 'p'").collect()} == {("p", "2", "Part Type", None, "3")}
