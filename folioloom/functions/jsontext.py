@@ -25,8 +25,16 @@ class Raw:
         self.column = column
 
 
-def json_text(value: object) -> Column:
-    """JSON text of nested dicts and lists of constants, string columns, and Raw columns."""
+def json_list(c: Column) -> Column:
+    """A list of JSON texts as JSON, null as null."""
+    return F.coalesce(F.concat(F.lit("["), F.array_join(c, ","), F.lit("]")), F.lit("null"))
+
+
+def json_text(value: object, more: Column | None = None) -> Column:
+    """JSON text of nested dicts and lists of constants, string columns, and Raw columns.
+
+    more: further fields of the outermost object as text, each with a comma before it.
+    """
     pieces: list[str | Column] = []
 
     def put(piece: str | Column) -> None:
@@ -55,4 +63,7 @@ def json_text(value: object) -> Column:
             put(json.dumps(v, ensure_ascii=False))
 
     walk(value)
+    if more is not None:
+        pieces[-1] = pieces[-1][:-1]
+        pieces += [more, "}"]
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces if not isinstance(p, str) or p])

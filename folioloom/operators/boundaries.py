@@ -7,30 +7,34 @@ are independent and go to separate groups.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import effective_end
-from ..shipping import ship
+from .grouped import solve_groups
 
-SCHEMA = "page_id string, document_id string, index int"
+SCHEMA = T.StructType().add("page_id", "string").add("document_id", "string").add("index", "integer")
+_COLUMNS = ("kind", "document_id", "page_id", "index_", "folio_start", "folio_last")
 
 
-def _extend(rows: pd.DataFrame) -> list[tuple[str, str, int]]:
-    base = rows[rows["kind"] == "base"].sort_values(["document_id", "index", "page_id"])
+def _extend(group: dict[str, list]) -> list[tuple[str, str, int]]:
+    """New links of one inventory; its rows come by kind, document, index, page, and those of ranges by start, then document."""
     blocks: dict[str, list[str]] = {}
     block_of: dict[str, str] = {}
-    for doc, page in zip(base["document_id"], base["page_id"], strict=True):
-        blocks.setdefault(doc, []).append(page)
-        block_of[page] = doc
     linked: dict[str, list[tuple[str, int]]] = {}
-    for r in rows[rows["kind"] == "link"].itertuples():
-        linked.setdefault(r.document_id, []).append((r.page_id, int(r.index_)))
+    ranges: list[tuple[str, int, int]] = []
+    for kind, doc, page, index, first, last in zip(*(group[c] for c in _COLUMNS), strict=True):
+        if kind == "base":
+            blocks.setdefault(doc, []).append(page)
+            block_of[page] = doc
+        elif kind == "link":
+            linked.setdefault(doc, []).append((page, index))
+        else:
+            ranges.append((doc, first, last))
     taken = {page for pages in linked.values() for page, _ in pages}
-    ranges = rows[rows["kind"] == "doc"].sort_values(["folio_start", "document_id"])
     out: list[tuple[str, str, int]] = []
-    for doc, first, last in zip(ranges["document_id"], ranges["folio_start"].astype(int), ranges["folio_last"].astype(int), strict=True):
+    for doc, first, last in ranges:
         have = linked.get(doc, [])
         covered = {i for _, i in have if first <= i <= last}
         pages = {p for p, _ in have}
@@ -59,16 +63,12 @@ def boundary_links(baseline: DataFrame, documents: DataFrame, links: DataFrame)
     index of every link to a document with a range. Each document is anchored in the
     baseline document that holds most of its pages (ties to the smaller id).
     """
-    ship(baseline.sparkSession)
     none = F.lit(None)
     ranges = documents.where("folio_start is not null").select("inventory_id", F.col("id").alias("document_id"), "folio_start", effective_end("folio_start", "folio_end").alias("folio_last"))
     rows = (
-        baseline.select("inventory_id", F.lit("base").alias("kind"), "document_id", "page_id", F.col("index").cast("int").alias("index_"), none.cast("int").alias("folio_start"), none.cast("int").alias("folio_last"))
-        .unionByName(ranges.select("inventory_id", F.lit("doc").alias("kind"), "document_id", none.cast("string").alias("page_id"), none.cast("int").alias("index_"), "folio_start", "folio_last"))
-        .unionByName(links.join(ranges.select("document_id", "inventory_id"), "document_id").select("inventory_id", F.lit("link").alias("kind"), "document_id", "page_id", F.col("index").cast("int").alias("index_"), none.cast("int").alias("folio_start"), none.cast("int").alias("folio_last")))
+        baseline.select("inventory_id", F.lit("base").alias("kind"), "document_id", "page_id", F.col("index").cast("integer").alias("index_"), none.cast("integer").alias("folio_start"), none.cast("integer").alias("folio_last"))
+        .unionByName(ranges.select("inventory_id", F.lit("doc").alias("kind"), "document_id", none.cast("string").alias("page_id"), none.cast("integer").alias("index_"), "folio_start", "folio_last"))
+        .unionByName(links.join(ranges.select("document_id", "inventory_id"), "document_id").select("inventory_id", F.lit("link").alias("kind"), "document_id", "page_id", F.col("index").cast("integer").alias("index_"), none.cast("integer").alias("folio_start"), none.cast("integer").alias("folio_last")))
     )
 
-    def extend(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_extend(rows.assign(index=rows["index_"])), columns=["page_id", "document_id", "index"])
-
-    return rows.groupBy("inventory_id").applyInPandas(extend, SCHEMA)
+    return solve_groups(rows, "inventory_id", ["kind", "folio_start", *[F.asc_nulls_last(c) for c in ("document_id", "index_", "page_id")]], _extend, SCHEMA)

@@ -5,9 +5,14 @@ from __future__ import annotations
 import json
 import random
 
-from folioloom.operators import lookups, state_machine
-from folioloom.plans import linked_art, queries
-from tests.test_operators import row
+import pytest
+
+from folioloom.operators import lookups, sequences, state_machine
+from folioloom.operators.boundaries import boundary_links
+from folioloom.plans import linked_art, queries, view_queries  # noqa: F401 - registers its queries
+from tests.test_operators import PAGES, row
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -63,3 +68,30 @@ def test_records_are_text_and_read_once(spark):
     physical = plan(fields).split("== Physical Plan ==")[1]
     assert physical.count("from_json(") == 1 and "get_json_object" not in physical
     assert {tuple(r) for r in fields.where("key = 'p'").collect()} == {("p", "2", "Part Type", None, "3")}
+
+
+@pytest.mark.parametrize("name", ["first_last_scan", "document_details", "timeline_items", "strongest_links", "document_table", "document_jsonld", "folio_match_links"])
+def test_the_view_is_made_once(spark, name):
+    """Links bear what is asked of their pages, so scans are put in order once, and no second time for long ranges or the pages."""
+    found = queries.QUERIES[name](spark, SMALL)
+    assert plan(found).split("== Physical Plan ==")[1].count("Window [row_number() windowspecdefinition(l_suppkey") == 1
+
+
+def test_runs_are_grouped_once(spark):
+    pages = spark.createDataFrame([(0, f"p{n}{s}", f"s{n}", f"f{n}", n, s, False, None, f) for n, s, f in [(1, "Verso", "5, 6"), (1, "Recto", "5"), (2, None, "5,x"), (3, None, " 5"), (4, None, None), (5, None, "5")]], PAGES)
+    scans = pages.select("inventory_id", "scan_id", "filename", "scan_order").distinct()
+    runs = sequences.repeated_runs(scans, pages, 2)
+    assert plan(runs).split("== Physical Plan ==")[1].count("Join") == 1
+    assert {tuple(r) for r in runs.collect()} == {(0, 5, 1, 3, 3, f"s{n}") for n in (1, 2, 3)}
+
+
+def test_inventories_are_solved_together(spark):
+    """Boundaries and ranges of small inventories are not a call each."""
+    base = spark.createDataFrame([(v, f"B{v}", f"p{v}_{i}", i) for v in range(5) for i in range(6)], "inventory_id int, document_id string, page_id string, index int")
+    docs = spark.createDataFrame([(v, f"T{v}", 10, 15) for v in range(5)], "inventory_id int, id string, folio_start int, folio_end int")
+    links = spark.createDataFrame([(f"p{v}_{i}", f"T{v}", 10 + i) for v in range(5) for i in range(1, 5)], "page_id string, document_id string, index int")
+    found = boundary_links(base, docs, links)
+    assert "FlatMapGroups" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {(f"p{v}_{i}", f"T{v}", 10 + i) for v in range(5) for i in (0, 5)}
+    manifest = plan(queries.QUERIES["manifest_json"](spark, SMALL))
+    assert "FlatMapGroups" not in manifest and "to_json(struct(@context" not in manifest
